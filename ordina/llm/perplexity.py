@@ -45,8 +45,8 @@ HASH_BITS = 22
 #: Orders 1 to 4 with a hash, a probability and a weight of 4 bytes each, at the most.
 SENT_MB = 4 * 12 * (1 << HASH_BITS) // 1_000_000
 BLOCK = 1 << 20
-BAND = 6.0
-MIN_SPREAD = 0.05
+BAND = 5.0
+MIN_SPREAD = 0.015
 STEP = 0.001
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, mixing, perplexity, simhash
+from . import avi, bpe, langid, mixing, perplexity, simhash
 
 QUERIES = {
     "op1_source_mix": mixing.query,
     "op2_language_id": langid.query,
+    "op3_avi_mjpeg": avi.query,
     "op4_byte_bpe": bpe.query,
     "op5_perplexity_rules": perplexity.query,
     "op6_simhash": simhash.query,
