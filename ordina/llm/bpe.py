@@ -105,7 +105,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "token_ids")
     """docs with the ids of their text as an array<int> in a new column."""
     if column.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"the input has a column {column}")
-    schema = docs.schema.add(column, "array<int>")
+    schema = common.extended(docs.schema, f"{column} array<int>")
 
     def run(batch):
         ids = pa.array([encode(common.decoded(raw), path) for raw in common.texts(batch)], pa.list_(pa.int32()))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.shipping import ship
 
@@ -52,6 +53,11 @@ def decoded(raw: bytes | None) -> str:
     return "" if raw is None else raw.decode("utf-8", "replace")
 
 
+def extended(schema: StructType, more: str) -> StructType:
+    """A new schema with more columns; a DataFrame's own schema is never changed."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow over batches; fn yields batches for one; empty batches are skipped."""
     ship(df.sparkSession)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, langid, mixing, perplexity, simhash
+from . import avi, bpe, langid, mixing, perplexity, simhash, suffix
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op5_perplexity_rules": perplexity.query,
     "op6_simhash": simhash.query,
+    "op9_suffix_dedup": suffix.query,
 }
 
 ORACLE_SQL = {
