@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import avi, bpe, langid, mixing, perplexity, simhash, suffix
+from . import avi, bpe, chat, crf, langid, mixing, perplexity, simhash, suffix, warc
 
 QUERIES = {
     "op1_source_mix": mixing.query,
@@ -11,9 +11,13 @@ QUERIES = {
     "op4_byte_bpe": bpe.query,
     "op5_perplexity_rules": perplexity.query,
     "op6_simhash": simhash.query,
+    "op7_chat_trees": chat.query,
+    "op8_line_crf": crf.query,
     "op9_suffix_dedup": suffix.query,
+    "op10_warc_index": warc.query,
 }
 
 ORACLE_SQL = {
     "op1_source_mix": mixing.SQL,
+    "op7_chat_trees": chat.SQL,
 }
