@@ -173,6 +173,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, shares map<string,double>")
 
 
+def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """docs whose main language has at least this share; all columns stay."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = (infer(model, raw) for raw in common.texts(batch))
+        kept = [i for i, (langs, shares) in enumerate(found) if langs and shares[0] >= least]
+        if kept:
+            yield batch.take(pa.array(kept))
+
+    return common.map_arrow(docs, run, docs.schema)
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that may be learned from: a language, and an id whose crc32 modulo 3 is not 1."""
     return docs.where(F.col("lang").isNotNull() & (common.crc32_mod("doc_id", 3) != 1)).select("text", "lang")

@@ -20,6 +20,15 @@ them: 65 rows a member whatever the size of the cell, and the same components.
 Components are found by alternating star contractions over links of distinct fingerprints; copies
 are not links.
 
+Similarity. ``similar`` serves thresholds of similarity rather than of bits: its fingerprints have
+WIDE bits, and the share d of differing bits estimates the angle between two texts' shingles and so
+their Jaccard similarity, c / (2 - c) with c = cos(pi d). At 0.8 some 15 % of the bits differ, beyond
+what a grid on all coordinates can serve, so that TABLES grids on a sample of coordinates each (one
+bit a segment, log2(texts) + SLACK of them) give the candidates. A pair at 0.9 shares a cell with a
+probability of over 0.99, one at 0.8 of about 0.8. A crowded cell is dealt out to random small
+groups, other ones in each grid; a large group of near copies stays connected, because each member
+meets others in many grids.
+
 Defined results
   null or empty text   no shingles, fingerprint zero, linked like any other
   few words            the whole sequence is the only shingle
@@ -190,6 +199,83 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return classes(common.written(fingerprints(docs, words), "prints"), radius)
 
 
+# Similarity
+
+WIDE, TABLES, SLACK, GROUP = 512, 64, 4, 16
+
+
+def wide_fingerprint(raw: bytes | None, words: int) -> bytes:
+    """WIDE bits, each by the votes of all shingles."""
+    found = (raw or b"").lower().split()
+    votes, digest = np.zeros(WIDE, np.int64), xxhash.xxh64_intdigest
+    total = max(len(found) - words + 1, 1 if found else 0)
+    salts = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+    for at in range(0, total, VOTES):
+        part = np.fromiter((digest(b" ".join(found[k : k + words]), SEED) for k in range(at, min(at + VOTES, total))), np.uint64)[:, None] ^ salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            part = (part ^ (part >> np.uint64(shift))) * np.uint64(factor)
+        for block in np.array_split(part, max(1, len(part) // 4096)):
+            votes += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > total, bitorder="little").tobytes()
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs -> (doc_id, component_id): texts linked where their estimated similarity suffices."""
+
+    def prints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        fps = pa.array([wide_fingerprint(raw, words) for raw in common.texts(batch)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+
+    every = common.map_arrow(docs.select("doc_id", "text"), prints, "doc_id long, fp binary")
+    every = common.written(every.withColumn("id", F.xxhash64("fp")), "wide-prints")
+    first = common.written(every.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "wide-distinct")
+    bits = min(62, max(8, int(np.ceil(np.log2(max(first.count(), 2)))) + SLACK))
+    sample = np.stack([np.random.default_rng(t).choice(WIDE, bits, replace=False) for t in range(TABLES)])
+    powers = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
+
+    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            table = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
+            cells_ = (table[:, sample].astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), TABLES)), pa.array(cells_.ravel().view(np.int64))], names=["id", "cell"])
+
+    grid = common.map_arrow(first.select("id", "fp"), keys, "id long, cell long")
+    counts = common.written(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-cells")
+    dealt = grid.join(counts, "cell").select("cell", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.when(F.col("n") > CROWDED, F.col("n") / GROUP).otherwise(1))).alias("part"), "id")
+    members = dealt.groupBy("cell", "part").agg(F.collect_list("id").alias("ids"))
+    pairs = members.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda y: y > F.col("a"))).alias("b"))
+    pairs = common.written(pairs.distinct(), "wide-pairs")
+    prints_of = lambda name: first.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
+    both = pairs.join(prints_of("a"), "a").join(prints_of("b"), "b")
+    least = 2 * similarity / (1 + similarity)  # the cosine at this Jaccard similarity
+    most = int(np.floor(WIDE * np.arccos(least) / np.pi))
+
+    def near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
+        close = pa.array(np.flatnonzero(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most))
+        part = batch.select(["a", "b"]).take(close)
+        if part.num_rows:
+            yield part
+
+    edges = common.written(common.map_arrow(both.select("a", "b", "fp_a", "fp_b"), near, "a long, b long"), "wide-links")
+    if edges.isEmpty():
+        return every.join(first.select("id", F.col("first").alias("component_id")), "id").select("doc_id", "component_id")
+    named = first.select("id", "first").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    roots = common.written(named.join(smallest, "root").select("id", "component_id"), "wide-classes")
+    return every.select("doc_id", "id").join(roots, "id").select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of similar texts, that of the smallest doc_id. Rows without an id stay."""
+    first = common.written(similar(docs, words, similarity).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "representatives")
+    kept = docs.join(first, "doc_id").select(*docs.columns)
+    if not first.where("_n > 1").isEmpty():  # an id that several rows share
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
