@@ -110,10 +110,26 @@ def covers(raw: bytes, lo: np.ndarray, hi: np.ndarray, threshold: int) -> np.nda
     return np.fromiter((digest(view[a : b + threshold], 1) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo)).view(np.int64)
 
 
-def halves(raw: bytes, lo: int, hi: int, threshold: int) -> tuple[list[int], list[int]]:
-    """Ranks of both halves of the windows that start at lo..hi."""
+def windowed(raw: bytes, ranges: list[tuple[int, int]], threshold: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Windows that start in the ranges, by the ranks of their halves.
+
+    -> (j, t, start) of those found once in this text, (j, t) of each kind found more often, and
+    (lo, hi) of the starts of the latter, which repeat whatever other texts hold. A periodic text
+    so comes to a few rows.
+    """
     view, digest, half = memoryview(raw), xxhash.xxh64_intdigest, threshold // 2
-    return [digest(view[i : i + half]) for i in range(lo, hi + 1)], [digest(view[i + half : i + threshold], 1) for i in range(lo, hi + 1)]
+    at = np.concatenate([np.arange(a, b + 1) for a, b in ranges])
+    starts = at.tolist()
+    one = np.array([digest(view[i : i + half]) for i in starts], np.uint64)
+    two = np.array([digest(view[i + half : i + threshold], 1) for i in starts], np.uint64)
+    _, first, back, count = np.unique(one * MIX ^ two, return_index=True, return_inverse=True, return_counts=True)
+    often = count[back] > 1
+    alone, kinds = np.flatnonzero(~often), first[count > 1]
+    one, two = one.view(np.int64), two.view(np.int64)
+    again = np.sort(at[often])
+    edge = np.flatnonzero(np.diff(again) > 1)
+    lo, hi = (again[np.concatenate(([0], edge + 1))], again[np.concatenate((edge, [-1]))]) if len(again) else (again, again)
+    return [one[alone], two[alone], at[alone]], [one[kinds], two[kinds]], [lo, hi]
 
 
 # Filters
@@ -139,9 +155,32 @@ def within(filter_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 ROWS = "kind int, j long, t long, u1 long, u2 long, lo int, hi int"
 
 
-def rows_of(columns: list[list[np.ndarray]], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
-    if columns[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+#: Kinds of rows: a group of windows, a window, a kind of windows found in one text more than once
+#: (no position), and a range of starts that repeat.
+GROUP, WINDOW, OFTEN, REPEATS = range(4)
+NAMES = ["kind", "j", "t", "u1", "u2", "lo", "hi"]
+KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+
+def rows_of(out: list[list[np.ndarray]], names: list[str] = NAMES, kinds: list = KINDS) -> Iterator[pa.RecordBatch]:
+    if out[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+
+def add(out: list[list[np.ndarray]], kind: int, j, t, who: tuple[int, int], lo, hi) -> None:
+    n = len(j)
+    for column, values in zip(out, (np.full(n, kind), j, t, np.full(n, who[0]), np.full(n, who[1]), lo, hi), strict=True):
+        column.append(values)
+
+
+def add_windows(out: list[list[np.ndarray]], raw: bytes, ranges: list[tuple[int, int]], who: tuple[int, int], threshold: int) -> int:
+    alone, often, repeats = windowed(raw, ranges, threshold)
+    add(out, WINDOW, alone[0], alone[1], who, alone[2], alone[2])
+    none = np.zeros(len(often[0]), np.int64)
+    add(out, OFTEN, often[0], often[1], who, none, none)
+    none = np.zeros(len(repeats[0]), np.int64)
+    add(out, REPEATS, none, none, who, repeats[0], repeats[1])
+    return len(alone[0]) + len(often[0])
 
 
 def first_ranks(docs: DataFrame, threshold: int) -> DataFrame:
@@ -155,15 +194,10 @@ def first_ranks(docs: DataFrame, threshold: int) -> DataFrame:
 
 
 def second_ranks(docs: DataFrame, threshold: int, filter_) -> DataFrame:
-    """Groups whose j passes the filter, with t (kind 0), and windows without an anchor (kind 1)."""
+    """Groups whose j passes the filter, with t (GROUP), and what windows without an anchor come to."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = [[] for _ in range(7)]
-
-        def add(kind, j, t, who, lo, hi):
-            for column, values in zip(out, (np.full(len(j), kind), j, t, np.full(len(j), who[0]), np.full(len(j), who[1]), lo, hi), strict=True):
-                column.append(values)
-
         for raw in common.texts(batch):
             if not raw or len(raw) < threshold:
                 continue
@@ -172,13 +206,11 @@ def second_ranks(docs: DataFrame, threshold: int, filter_) -> DataFrame:
             some = within(filter_.value, j, RANK_BITS)
             if some.any():
                 who = identity(raw)
-                add(0, j[some], covers(raw, lo[some], hi[some], threshold), who, lo[some], hi[some])
-            for a, b in bare(lo, hi, len(raw), threshold):
-                who = who or identity(raw)
-                one, two = (np.array(x, np.uint64).view(np.int64) for x in halves(raw, a, b, threshold))
-                at = np.arange(a, b + 1)
-                add(1, one, two, who, at, at)
-        yield from rows_of(out, ["kind", "j", "t", "u1", "u2", "lo", "hi"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+                add(out, GROUP, j[some], covers(raw, lo[some], hi[some], threshold), who, lo[some], hi[some])
+            without = bare(lo, hi, len(raw), threshold)
+            if without:
+                add_windows(out, raw, without, who or identity(raw), threshold)
+        yield from rows_of(out)
 
     return common.map_arrow(docs.select("text"), run, ROWS)
 
@@ -198,24 +230,18 @@ def passing(docs: DataFrame, filter_, keep: bool = True) -> DataFrame:
 
 
 def windows(texts: DataFrame, threshold: int) -> DataFrame:
-    """(text, u1, u2, ranges) -> ranks of both halves of each window that starts in the ranges."""
+    """(text, u1, u2, ranges) -> what the windows that start in the ranges come to."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        size = 0
+        out, size = [[] for _ in NAMES], 0
         for raw, u1, u2, ranges in zip(common.texts(batch), *(batch.column(c).to_pylist() for c in ("u1", "u2", "ranges")), strict=True):
-            for r in ranges:
-                one, two = (np.array(x, np.uint64).view(np.int64) for x in halves(raw, r["lo"], r["hi"], threshold))
-                at = np.arange(r["lo"], r["hi"] + 1)
-                for column, values in zip(out, (one, two, np.full(len(at), u1), np.full(len(at), u2), at), strict=True):
-                    column.append(values)
-                size += len(at)
+            size += add_windows(out, raw, [(r["lo"], r["hi"]) for r in ranges], (u1, u2), threshold)
             if size > 1 << 18:
-                yield from rows_of(out, ["j", "t", "u1", "u2", "lo"], [pa.int64()] * 4 + [pa.int32()])
-                out, size = [[] for _ in range(5)], 0
-        yield from rows_of(out, ["j", "t", "u1", "u2", "lo"], [pa.int64()] * 4 + [pa.int32()])
+                yield from rows_of(out)
+                out, size = [[] for _ in NAMES], 0
+        yield from rows_of(out)
 
-    return common.map_arrow(texts, run, "j long, t long, u1 long, u2 long, lo int")
+    return common.map_arrow(texts, run, ROWS)
 
 
 def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -226,19 +252,22 @@ def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     share = spark.sparkContext.broadcast
     often = common.written(first_ranks(docs, threshold).groupBy("j").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("j"), "ranks-1")
     second = common.written(second_ranks(docs, threshold, share(bitmap(often, "j", RANK_BITS))), "ranks-2")
-    live = second.where("kind = 0").join(often, "j").select("j", "t", "u1", "u2", "lo", "hi")
+    live = second.where(F.col("kind") == GROUP).join(often, "j").select("j", "t", "u1", "u2", "lo", "hi")
     pair = common.written(live.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "hi")).alias("one")), "pairs")
     whole = pair.where("n > 1").select("j", "t")
-    sure = second.where("kind = 0").join(whole, ["j", "t"]).select("u1", "u2", "lo", "hi")
+    sure = second.where(F.col("kind") == GROUP).join(whole, ["j", "t"]).select("u1", "u2", "lo", "hi")
     doubt = pair.where("n = 1").select("j").distinct()
     todo = common.written(pair.join(doubt, "j", "left_semi").select("one.*"), "windows-todo")
     wanted = todo.groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     texts = passing(docs.select("text"), share(bitmap(todo, "u1", TEXT_BITS))).groupBy("u1", "u2").agg(F.first("text").alias("text"))
     third = windows(texts.join(wanted, ["u1", "u2"]).select("text", "u1", "u2", "ranges"), threshold)
-    third = common.written(third.unionByName(second.where("kind = 1").select("j", "t", "u1", "u2", "lo")), "ranks-3")
-    twice = third.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("j", "t")
-    single = third.join(twice, ["j", "t"]).select("u1", "u2", "lo", F.col("lo").alias("hi"))
-    return sure.unionByName(single).groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    third = common.written(third, "ranks-3").unionByName(second.where(F.col("kind") != GROUP))
+    # A kind that one text holds more than once counts for two; a text's copies have the same rows.
+    count = F.sum(F.when(F.col("kind") == OFTEN, 2).otherwise(1))
+    twice = third.where(F.col("kind").isin(WINDOW, OFTEN)).groupBy("j", "t").agg(count.alias("n")).where("n > 1").select("j", "t")
+    single = third.where(F.col("kind") == WINDOW).join(twice, ["j", "t"]).select("u1", "u2", "lo", "hi")
+    inside = third.where(F.col("kind") == REPEATS).select("u1", "u2", "lo", "hi")
+    return sure.unionByName(single).unionByName(inside).groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
 def runs(ranges: list[dict] | None, threshold: int) -> list[tuple[int, int]]:
