@@ -98,8 +98,8 @@ add("A5_map_reduce", lambda s, d: arrays.reduced(events_seq(s, d), plan.MAX, lam
 add("A6_max_index", lambda s, d: arrays.max_index(events_seq(s, d)), f"{E_} SELECT min(pos) AS pos, v FROM ev WHERE v = (SELECT max(v) FROM ev) GROUP BY v")
 add("A11_reduce_atomic", lambda s, d: arrays.reduced(orders_seq(s, d), plan.SUM), f"{O_} SELECT sum(v)::BIGINT AS v FROM od")
 add("A12_partial_final", lambda s, d: containers.combined_partials(events_seq(s, d)), f"{E_} SELECT sum(v)::BIGINT AS total, count(*) AS n FROM ev")
-add("A13_combine", lambda s, d: containers.flat_mapped(arrays.take(events_seq(s, d), 400), lambda pos: pos % 4), f"{E_}, x AS (SELECT pos AS i, unnest(range(0, pos % 4)) AS j, v FROM ev WHERE pos < 400) SELECT row_number() OVER (ORDER BY i, j) - 1 AS pos, v + j AS v FROM x")
-add("A14_container_combine", lambda s, d: containers.flat_mapped(arrays.take(events_seq(s, d), 200), lambda pos: F.lit(2)), f"{E_}, x AS (SELECT pos AS i, unnest(range(0, 2)) AS j, v FROM ev WHERE pos < 200) SELECT row_number() OVER (ORDER BY i, j) - 1 AS pos, v + j AS v FROM x")
+add("A13_combine", lambda s, d: containers.flat_mapped(events_seq(s, d), lambda pos: pos % 4), f"{E_}, x AS (SELECT pos AS i, unnest(range(0, pos % 4)) AS j, v FROM ev) SELECT row_number() OVER (ORDER BY i, j) - 1 AS pos, v + j AS v FROM x")
+add("A14_container_combine", lambda s, d: containers.flat_mapped(events_seq(s, d), lambda pos: F.lit(2)), f"{E_}, x AS (SELECT pos AS i, unnest(range(0, 2)) AS j, v FROM ev) SELECT row_number() OVER (ORDER BY i, j) - 1 AS pos, v + j AS v FROM x")
 add("A15_weighted_size", lambda s, d: events_seq(s, d).agg(F.sum(F.abs("v") % 7).alias("weight")), f"{E_} SELECT sum(abs(v) % 7)::BIGINT AS weight FROM ev")
 add("A19_bucket_offsets", lambda s, d: arrays.next_nonempty(table(s, d, "lineitem").groupBy((F.col("l_quantity").cast("long") * 2).alias("key")).agg(F.count(F.lit(1)).alias("n")), 104), "WITH k AS (SELECT range AS key FROM range(104)), c AS (SELECT (l_quantity::BIGINT) * 2 AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT k.key, coalesce(sum(coalesce(n, 0)) OVER (ORDER BY k.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM k LEFT JOIN c ON k.key = c.key")
 add(
@@ -214,25 +214,25 @@ add("DD10_cartesian", lambda s, d: table(s, d, "region").select("r_name").crossJ
 
 # Containers
 
-seq = lambda s, d: arrays.take(events_seq(s, d), 1000)
-SQ = f"{E_}, sq AS (SELECT pos, v FROM ev WHERE pos < 1000)"
+seq = events_seq
+SQ = f"{E_}, sq AS (SELECT pos, v FROM ev), nn AS (SELECT count(*) AS n FROM ev)"
 add("Q1_construct", lambda s, d: containers.filled(s, 50, 7).withColumn("of", F.lit("fill")).unionByName(seq(s, d).withColumn("of", F.lit("copy"))), f"{SQ} SELECT 'fill' AS of, range AS pos, 7 AS v FROM range(50) UNION ALL SELECT 'copy', pos, v FROM sq")
 add("Q2_size", lambda s, d: containers.size(seq(s, d)), f"{SQ} SELECT count(*) AS size, count(*) = 0 AS empty FROM sq")
 add("Q3_front_back", lambda s, d: containers.ends(seq(s, d)), f"{SQ} SELECT min_by(v, pos) AS front, max_by(v, pos) AS back FROM sq")
 add("Q4_index_read_write", lambda s, d: containers.put(seq(s, d), 7, -1), f"{SQ} SELECT pos, CASE WHEN pos = 7 THEN -1 ELSE v END AS v FROM sq")
-add("Q5_push", lambda s, d: containers.push_back(containers.push_front(seq(s, d), -5), -6), f"{SQ} SELECT pos + 1 AS pos, v FROM sq UNION ALL SELECT 0, -5 UNION ALL SELECT 1001, -6")
-add("Q6_pop", lambda s, d: containers.popn_back(containers.popn_front(seq(s, d), 1)[1], 1)[1], f"{SQ} SELECT pos - 1 AS pos, v FROM sq WHERE pos BETWEEN 1 AND 998")
-add("Q7_pushn", lambda s, d: arrays.concat(arrays.take(orders_seq(s, d), 20), seq(s, d), arrays.take(orders_seq(s, d), 30)), f"{SQ}, {ORDERS} SELECT pos, v FROM od WHERE pos < 20 UNION ALL SELECT pos + 20, v FROM sq UNION ALL SELECT pos + 1020, v FROM od WHERE pos < 30")
-add("Q8_popn", lambda s, d: containers.popn_back(seq(s, d), 300)[0].withColumn("of", F.lit("out")).unionByName(containers.popn_back(seq(s, d), 300)[1].withColumn("of", F.lit("left"))), f"{SQ} SELECT CASE WHEN pos < 700 THEN pos ELSE pos - 700 END AS pos, v, CASE WHEN pos < 700 THEN 'left' ELSE 'out' END AS of FROM sq")
-add("Q9_frontn_backn", lambda s, d: containers.frontn(seq(s, d), 5).withColumn("of", F.lit("front")).unionByName(containers.backn(seq(s, d), 5).withColumn("of", F.lit("back"))), f"{SQ} SELECT pos, v, 'front' AS of FROM sq WHERE pos < 5 UNION ALL SELECT pos - 995, v, 'back' FROM sq WHERE pos >= 995")
+add("Q5_push", lambda s, d: containers.push_back(containers.push_front(seq(s, d), -5), -6), f"{SQ} SELECT pos + 1 AS pos, v FROM sq UNION ALL SELECT 0, -5 UNION ALL SELECT n + 1, -6 FROM nn")
+add("Q6_pop", lambda s, d: containers.popn_back(containers.popn_front(seq(s, d), 1)[1], 1)[1], f"{SQ} SELECT pos - 1 AS pos, v FROM sq, nn WHERE pos BETWEEN 1 AND n - 2")
+add("Q7_pushn", lambda s, d: arrays.concat(arrays.take(orders_seq(s, d), 20), seq(s, d), arrays.take(orders_seq(s, d), 30)), f"{SQ}, {ORDERS} SELECT pos, v FROM od WHERE pos < 20 UNION ALL SELECT pos + 20, v FROM sq UNION ALL SELECT pos + 20 + n, v FROM od, nn WHERE pos < 30")
+add("Q8_popn", lambda s, d: containers.popn_back(seq(s, d), 300)[0].withColumn("of", F.lit("out")).unionByName(containers.popn_back(seq(s, d), 300)[1].withColumn("of", F.lit("left"))), f"{SQ} SELECT CASE WHEN pos < n - 300 THEN pos ELSE pos - (n - 300) END AS pos, v, CASE WHEN pos < n - 300 THEN 'left' ELSE 'out' END AS of FROM sq, nn")
+add("Q9_frontn_backn", lambda s, d: containers.frontn(seq(s, d), 5).withColumn("of", F.lit("front")).unionByName(containers.backn(seq(s, d), 5).withColumn("of", F.lit("back"))), f"{SQ} SELECT pos, v, 'front' AS of FROM sq WHERE pos < 5 UNION ALL SELECT pos - (n - 5), v, 'back' FROM sq, nn WHERE pos >= n - 5")
 add("Q10_stream_backn", lambda s, d: containers.stream(seq(s, d), lambda v: v * 3), f"{SQ} SELECT pos, v * 3 AS v FROM sq")
 add("Q11_stream_pushn", lambda s, d: containers.produced(s, 500), "SELECT range AS pos, range * range % 1009 AS v FROM range(500)")
 add("Q12_stream_popn", lambda s, d: containers.stream(containers.popn_front(seq(s, d), 250)[0], lambda v: v + 1), f"{SQ} SELECT pos, v + 1 AS v FROM sq WHERE pos < 250")
-add("Q13_concat", lambda s, d: arrays.concat(seq(s, d), arrays.take(orders_seq(s, d), 10)), f"{SQ}, {ORDERS} SELECT pos, v FROM sq UNION ALL SELECT pos + 1000, v FROM od WHERE pos < 10")
+add("Q13_concat", lambda s, d: arrays.concat(seq(s, d), arrays.take(orders_seq(s, d), 10)), f"{SQ}, {ORDERS} SELECT pos, v FROM sq UNION ALL SELECT pos + n, v FROM od, nn WHERE pos < 10")
 SPLIT = "SELECT CASE WHEN pos < {0} THEN 0 ELSE 1 END AS part, CASE WHEN pos < {0} THEN pos ELSE pos - {0} END AS pos, v FROM sq"
 add("Q14_split", lambda s, d: containers.tagged(containers.split(seq(s, d), 333)), f"{SQ} {SPLIT.format(333)}")
-add("Q15_split_approximate", lambda s, d: containers.tagged(containers.split_half(seq(s, d))), f"{SQ} {SPLIT.format(500)}")
-add("Q16_split_by_predicate", lambda s, d: containers.tagged(containers.split_by(seq(s, d), F.abs("v") % 10, lambda m: m > 1000)), f"{SQ}, x AS (SELECT pos, v, sum(abs(v) % 10) OVER (ORDER BY pos) AS m FROM sq), c AS (SELECT coalesce(min(pos) FILTER (WHERE m > 1000), 1000) AS i FROM x) SELECT CASE WHEN pos < i THEN 0 ELSE 1 END AS part, CASE WHEN pos < i THEN pos ELSE pos - i END AS pos, v FROM sq, c")
+add("Q15_split_approximate", lambda s, d: containers.tagged(containers.split_half(seq(s, d))), f"{SQ} {SPLIT.format("n // 2")}, nn")
+add("Q16_split_by_predicate", lambda s, d: containers.tagged(containers.split_by(seq(s, d), F.abs("v") % 10, lambda m: m > 1000)), f"{SQ}, x AS (SELECT pos, v, sum(abs(v) % 10) OVER (ORDER BY pos) AS m FROM sq), c AS (SELECT coalesce(min(pos) FILTER (WHERE m > 1000), (SELECT n FROM nn)) AS i FROM x) SELECT CASE WHEN pos < i THEN 0 ELSE 1 END AS part, CASE WHEN pos < i THEN pos ELSE pos - i END AS pos, v FROM sq, c")
 add("Q17_split_middle", lambda s, d: containers.split_middle(seq(s, d), F.abs("v") % 10, lambda m: m > 1000), f"{SQ}, x AS (SELECT pos, v, sum(abs(v) % 10) OVER (ORDER BY pos) AS m FROM sq), c AS (SELECT min(pos) FILTER (WHERE m > 1000) AS i FROM x) SELECT CASE WHEN i IS NULL OR pos < i THEN 'left' WHEN pos = i THEN 'middle' ELSE 'right' END AS part, CASE WHEN i IS NULL OR pos < i THEN pos WHEN pos = i THEN 0 ELSE pos - i - 1 END AS pos, v FROM sq, c")
 add("Q18_insert_erase", lambda s, d: containers.erase(containers.insert(seq(s, d), 10, -9), 100, 200), f"{SQ}, i AS (SELECT CASE WHEN pos < 10 THEN pos ELSE pos + 1 END AS pos, v FROM sq UNION ALL SELECT 10, -9) SELECT CASE WHEN pos < 100 THEN pos ELSE pos - 100 END AS pos, v FROM i WHERE pos < 100 OR pos >= 200")
 add("Q19_clear_swap", lambda s, d: containers.swapped(seq(s, d).where("pos < 0"), arrays.take(orders_seq(s, d), 5)), f"{O_} SELECT 'first' AS of, pos, v FROM od WHERE pos < 5")
@@ -265,7 +265,7 @@ add("N2_dmdvmult", lambda s, d: numeric.matvec(matrix(s, d), s.range(64).select(
 # User-defined parts
 
 add("U1_scalar_fn", lambda s, d: arrays.mapped(events_seq(s, d), lambda v: F.pmod(v * 7, F.lit(13))), f"{E_} SELECT pos, ((v * 7) % 13 + 13) % 13 AS v FROM ev")
-add("U3_custom_monoid", lambda s, d: containers.string_compare_scan(table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("a"), F.col("p_type").alias("b")).where("pos < 200")), "SELECT coalesce(min_by(c, pos), 0) AS result FROM (SELECT p_partkey AS pos, CASE WHEN left(p_name, least(length(p_name), length(p_type))) < left(p_type, least(length(p_name), length(p_type))) THEN -1 WHEN left(p_name, least(length(p_name), length(p_type))) > left(p_type, least(length(p_name), length(p_type))) THEN 1 ELSE 0 END AS c FROM part WHERE p_partkey < 200) WHERE c <> 0")
+add("U3_custom_monoid", lambda s, d: containers.string_compare_scan(table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("a"), F.col("p_type").alias("b"))), "SELECT coalesce(min_by(c, pos), 0) AS result FROM (SELECT p_partkey AS pos, CASE WHEN left(p_name, least(length(p_name), length(p_type))) < left(p_type, least(length(p_name), length(p_type))) THEN -1 WHEN left(p_name, least(length(p_name), length(p_type))) > left(p_type, least(length(p_name), length(p_type))) THEN 1 ELSE 0 END AS c FROM part) WHERE c <> 0")
 add("U6_comparator_sort", lambda s, d: table(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)), ",").alias("names")), "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY length(n_name), n_name) AS names FROM nation GROUP BY 1")
 add("U9_node_monoid", lambda s, d: table(s, d, "lineitem").groupBy(F.floor(F.col("l_quantity") / 10).cast("long").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("l_quantity").alias("low")), "SELECT floor(l_quantity / 10)::BIGINT AS cell, count(*) AS n, min(l_quantity) AS low FROM lineitem GROUP BY 1")
 add("U12_forkjoin", lambda s, d: containers.fork_join(events_seq(s, d)), f"{E_} SELECT string_agg(m::VARCHAR, ',' ORDER BY b) AS maxima FROM (SELECT pos // 1000 AS b, max(v) AS m FROM ev GROUP BY 1)")
