@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.scratch import scratch_path, written
 from ..plans.shipping import ship
 
-__all__ = ["WORD", "crc32_mod", "decoded", "extended", "map_arrow", "scratch_path", "ship", "texts", "written"]
+__all__ = ["WORD", "crc32_mod", "decoded", "extended", "map_arrow", "scratch_path", "ship", "small_batches", "texts", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,9 +33,21 @@ def extended(schema: StructType, more: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(more).fields])
 
 
+#: Rows and bytes of an Arrow batch at the most (a single longer row is a batch by itself).
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's limits of Arrow batches: texts are long, and a worker holds a batch and what
+    it makes of it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """mapInArrow over batches; fn yields batches for one; empty batches are skipped."""
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -85,6 +85,7 @@ def count(train: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
 
     common.ship(train.sparkSession)
+    common.small_batches(train.sparkSession)
     parts = train.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 

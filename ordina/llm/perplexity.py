@@ -115,6 +115,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
     common.ship(docs.sparkSession)
+    common.small_batches(docs.sparkSession)
     parts = docs.select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -192,6 +192,7 @@ def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     common.ship(spark)
+    common.small_batches(spark)
     ordered = typed(pages, least).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     return folder, common.written(ordered.mapInArrow(run, DIRECTORY), "warc-directory")
 
