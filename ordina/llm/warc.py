@@ -232,7 +232,9 @@ def captures(directory: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     # Blocks, not archives, are dealt out: a task reads a few blocks' ranges.
-    return common.map_arrow(directory.repartition("cdx", "offset"), run, schema)
+    # The number is given because a plan that merges small partitions would read all of them in one task.
+    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return common.map_arrow(directory.repartition(parts, "cdx", "offset"), run, schema)
 
 
 def find(spark: SparkSession, directory: DataFrame, urls: list[str]) -> DataFrame:
