@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +94,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         return keys[first], np.add.reduceat(counts, first)
 
     def run(batches):
-        held: dict[str | None, list] = {}
-        raw_held: dict[str | None, tuple[list, int]] = {}
+        held: dict[str, list] = {}
+        raw_held: dict[str, tuple[list, int]] = {}
 
         def fold(lang):
             blocks, _ = raw_held.pop(lang)
@@ -102,7 +103,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             held[lang] = [merged([*held.get(lang, []), part])]
 
         for batch in batches:
-            for raw, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
+            for raw, lang in zip(common.texts(batch), map(lang_key, batch.column("lang").to_pylist()), strict=True):
                 for block in grams(raw):
                     blocks, size = raw_held.get(lang, ([], 0))
                     blocks.append(block)
@@ -140,33 +141,36 @@ def orders(counts: DataFrame) -> list[DataFrame]:
     tables = [counts.select("lang", "gram", F.col("n").alias("c"))]
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND((1 << (16 * order)) - 1)
-        tables.append(tables[-1].select("lang", suffix.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")))
+        lower = tables[-1].select("lang", suffix.alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+        tables.append(common.written(lower, f"order-{order}"))
     return tables[::-1]
 
 
-def smoothed(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Per order: (lang, gram, p), interpolated; and (lang, context, w), the weight of the order below."""
-    probabilities, weights = [], []
+def smoothed(counts: DataFrame) -> list[DataFrame]:
+    """Per order a written table (lang, gram, context, p, w, kinds): the interpolated probability, and the
+    context's weight of the order below and number of followers. A context has no more rows than
+    there are characters."""
+    out: list[DataFrame] = []
     for order, table in enumerate(orders(counts), 1):
-        context = F.shiftrightunsigned(F.col("gram"), 16)
-        rates = discounts(table).withColumnRenamed("lang", "l")
-        table = table.join(rates, table["lang"].eqNullSafe(rates["l"])).drop("l").withColumn("context", context)
+        group = Window.partitionBy("lang", "context")
         d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        table = table.withColumn("d", F.least(d, F.col("c")))
-        sums = table.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("d").alias("taken"), F.count(F.lit(1)).alias("kinds"))
-        weight = sums.select(F.col("lang").alias("l"), F.col("context").alias("x"), "total", "kinds", (F.col("taken") / F.col("total")).alias("w"))
-        table = table.join(weight, table["lang"].eqNullSafe(weight["l"]) & (table["context"] == weight["x"])).drop("l", "x")
+        table = (
+            table.join(common.written(discounts(table), "discounts"), "lang")
+            .withColumn("context", F.shiftrightunsigned(F.col("gram"), 16))
+            .withColumn("d", F.least(d, F.col("c")))
+            .withColumn("total", F.sum("c").over(group))
+            .withColumn("w", F.sum("d").over(group) / F.col("total"))
+            .withColumn("kinds", F.count(F.lit(1)).over(group))
+        )
         own = (F.col("c") - F.col("d")) / F.col("total")
         if order == 1:
-            p = own + F.col("w") / (F.col("kinds") + 1)  # one more for characters never seen
-            table = table.select("lang", "gram", p.alias("p"))
+            table = table.withColumn("p", own + F.col("w") / (F.col("kinds") + 1))  # one more for characters never seen
         else:
-            below = probabilities[-1].select(F.col("lang").alias("l"), F.col("gram").alias("g"), F.col("p").alias("lower"))
+            below = out[-1].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower"))
             suffix = F.col("gram").bitwiseAND((1 << (16 * (order - 1))) - 1)
-            table = table.join(below, table["lang"].eqNullSafe(below["l"]) & (suffix == below["g"])).select("lang", "gram", (own + F.col("w") * F.col("lower")).alias("p"))
-        probabilities.append(table)
-        weights.append(weight.select(F.col("l").alias("lang"), F.col("x").alias("context"), "w", "kinds"))
-    return probabilities, weights
+            table = table.withColumn("suffix", suffix).join(below, ["lang", "suffix"]).withColumn("p", own + F.col("w") * F.col("lower"))
+        out.append(common.written(table.select("lang", "gram", "context", "p", "w", "kinds"), f"smoothed-{order}"))
+    return out
 
 
 class Model:
@@ -190,7 +194,7 @@ class Model:
             self.tables = spread[:ORDER], spread[ORDER:]
         return self.tables
 
-    def log_loss(self, lang: str | None, blocks) -> tuple[float, int]:
+    def log_loss(self, lang: str, blocks) -> tuple[float, int]:
         """Sum of -log p and number of 4-grams."""
         p_tables, w_tables = self.dense()
         loss, n, floor = 0.0, 0, self.unseen.get(lang, 1e-4)
@@ -222,10 +226,13 @@ class Model:
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
-def lang_seed(lang: str | None) -> int:
-    import xxhash
+def lang_seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), 42)
+
 
-    return 42 if lang is None else xxhash.xxh64_intdigest(lang.encode(), 42)
+def lang_key(lang: str | None) -> str:
+    """Languages as non-null keys: the null language is the empty key."""
+    return "" if lang is None else f"={lang}"
 
 
 def rotated(x: np.ndarray, by: int) -> np.ndarray:
@@ -242,15 +249,17 @@ def hash_grams(seed: int, gram: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> Model:
-    counts = common.written(gram_counts(docs), "grams")
-    probabilities, weights = smoothed(counts)
+    tables = smoothed(common.written(gram_counts(docs), "grams"))
 
-    def stored(table: DataFrame, gram: str, value: str):
-        held = table.select(hashed(F.col("lang"), F.col(gram)).alias("k"), value).groupBy("k").agg(F.sum(value).alias("v")).orderBy("k").toArrow()
-        return held["k"].to_numpy().astype(np.uint32), np.minimum(held["v"].to_numpy(), 1.0).astype(np.float32)
+    def stored(table: DataFrame, gram: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+        held = table.select(hashed(F.col("lang"), F.col(gram)).alias("k"), value).groupBy("k").agg(F.sum(value).alias("v")).toArrow()
+        keys = held["k"].to_numpy().astype(np.uint32)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.minimum(held["v"].to_numpy(), 1.0).astype(np.float32)[order]
 
-    kinds = {r.lang: r.w / (r.kinds + 1) for r in weights[0].collect()}  # a row per language
-    return Model([stored(t, "gram", "p") for t in probabilities], [stored(t, "context", "w") for t in weights], kinds)
+    rare = {r.lang: r.p for r in tables[0].groupBy("lang").agg(F.first(F.col("w") / (F.col("kinds") + 1)).alias("p")).collect()}  # a row per language
+    weights = [t.select("lang", "context", "w").distinct() for t in tables]
+    return Model([stored(t, "gram", "p") for t in tables], [stored(t, "context", "w") for t in weights], rare)
 
 
 # Rules
@@ -290,7 +299,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         rows, losses = [], []
         for raw, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
             rows.append(measures(raw))
-            loss, n = shared.value.log_loss(lang, grams(raw))
+            loss, n = shared.value.log_loss(lang_key(lang), grams(raw))
             losses.append(loss / n if n else None)
         columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
         yield pa.RecordBatch.from_arrays(
