@@ -309,3 +309,13 @@ def write_graph(graph: DataFrame, uri: str, n: int) -> None:
         write_lines(graphviz_lines(graph), uri)
     else:
         raise ValueError(f"no writer for .{extension}")
+
+
+def fs_write(uri: str, data: bytes) -> None:
+    """A small file, written by the driver to a store that all can read."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path, compression=None) as out:
+        out.write(data)
