@@ -57,8 +57,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
         .withColumn("weights", F.sum("weight").over(after))
         .withColumn("capped", most * F.col("source_size") * F.col("weights") <= F.col("left") * F.col("weight"))
     )
-    # The capped ones come first; all others share by the first row that is not capped.
-    first = F.min(F.when(~F.col("capped"), F.struct(F.col("source_size") / F.col("weight"), "left", "weights"))).over(total)
+    # The capped ones come first; all others share by the first row that is not capped (of equal
+    # ratios the one with most left).
+    first = F.min(F.when(~F.col("capped"), F.struct(F.col("source_size") / F.col("weight"), -F.col("left"), "left", "weights"))).over(total)
     share = (first["left"] * F.col("weight")).cast("double") / first["weights"]
     target = F.when(F.col("capped"), (most * F.col("source_size")).cast("double")).otherwise(share)
     return ranked.select("source", "source_size", target.alias("target"))
@@ -127,7 +128,7 @@ WITH sized AS (
 ), capped AS (
   SELECT *, 3 * source_size * weights <= lft * weight AS cap FROM ranked
 ), free AS (
-  SELECT lft, weights FROM capped WHERE NOT cap ORDER BY source_size::DOUBLE / weight, lft, weights LIMIT 1
+  SELECT lft, weights FROM capped WHERE NOT cap ORDER BY source_size::DOUBLE / weight, lft DESC LIMIT 1
 ), targets AS (
   SELECT c.source, c.source_size,
          CASE WHEN cap THEN (3 * source_size)::DOUBLE ELSE (f.lft * c.weight)::DOUBLE / f.weights::DOUBLE END AS target
