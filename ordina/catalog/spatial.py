@@ -58,19 +58,25 @@ def vectors(s, d):
 
 VE = f"WITH {EM}, ve AS (SELECT id, x, y, z, y AS bx, z AS b_y, x AS bz, z AS cx, x AS cy, y AS cz FROM em)"
 r6 = lambda c: F.round(c, 6)
-a, b, c = F.col("a"), F.col("b"), F.col("c")
-add("X16_vector_algebra", lambda s, d: vectors(s, d).select("id", r6(P.plus(a, b, 3)["x"]).alias("sum_x"), r6(P.minus(a, b, 3)["y"]).alias("diff_y"), r6(P.times(a, 3.0, 3)["z"]).alias("times_z"), r6(P.over(a, 4.0, 3)["x"]).alias("over_x"), r6(P.dot(a, b, 3)).alias("dot"), r6(P.cross3(a, b)["x"]).alias("cross_x"), r6(P.cross2(a, b)).alias("cross2"), r6(P.max_dim(a, 3)).alias("max_dim"), r6(P.length(a, 3)).alias("length")), f"{VE} SELECT id, round(x + bx, 6) AS sum_x, round(y - b_y, 6) AS diff_y, round(z * 3, 6) AS times_z, round(x / 4, 6) AS over_x, round(x * bx + y * b_y + z * bz, 6) AS dot, round(y * bz - z * b_y, 6) AS cross_x, round(x * b_y - y * bx, 6) AS cross2, greatest(round(x, 6), round(y, 6), round(z, 6)) AS max_dim, round(sqrt(x * x + y * y + z * z), 6) AS length FROM ve")
-add("X17_point_ops", lambda s, d: vectors(s, d).select("id", r6(P.min_coords(a, b)["x"]).alias("min_x"), r6(P.max_coords(a, b)["y"]).alias("max_y"), P.quadrant(a, b, 3).alias("quadrant"), r6(P.offset_point(b, P.quadrant(a, b, 3), 0.5, 3)["z"]).alias("offset_z"), P.out_of_box(a, b, 0.25, 3).alias("out")), f"{VE} SELECT id, round(least(x, bx), 6) AS min_x, round(greatest(y, b_y), 6) AS max_y, (x > bx)::INT + 2 * (y > b_y)::INT + 4 * (z > bz)::INT AS quadrant, round(bz + CASE WHEN z > bz THEN 0.5 ELSE -0.5 END, 6) AS offset_z, x - 0.25 > bx OR x + 0.25 < bx OR y - 0.25 > b_y OR y + 0.25 < b_y OR z - 0.25 > bz OR z + 0.25 < bz AS out FROM ve")
+
+
+def abc(f):
+    """A query over the vectors a, b and c of each row; columns are made when it runs."""
+    return lambda s, d: vectors(s, d).select("id", *f(F.col("a"), F.col("b"), F.col("c")))
+
+
+add("X16_vector_algebra", abc(lambda a, b, c: [r6(P.plus(a, b, 3)["x"]).alias("sum_x"), r6(P.minus(a, b, 3)["y"]).alias("diff_y"), r6(P.times(a, 3.0, 3)["z"]).alias("times_z"), r6(P.over(a, 4.0, 3)["x"]).alias("over_x"), r6(P.dot(a, b, 3)).alias("dot"), r6(P.cross3(a, b)["x"]).alias("cross_x"), r6(P.cross2(a, b)).alias("cross2"), r6(P.max_dim(a, 3)).alias("max_dim"), r6(P.length(a, 3)).alias("length")]), f"{VE} SELECT id, round(x + bx, 6) AS sum_x, round(y - b_y, 6) AS diff_y, round(z * 3, 6) AS times_z, round(x / 4, 6) AS over_x, round(x * bx + y * b_y + z * bz, 6) AS dot, round(y * bz - z * b_y, 6) AS cross_x, round(x * b_y - y * bx, 6) AS cross2, greatest(round(x, 6), round(y, 6), round(z, 6)) AS max_dim, round(sqrt(x * x + y * y + z * z), 6) AS length FROM ve")
+add("X17_point_ops", abc(lambda a, b, c: [r6(P.min_coords(a, b)["x"]).alias("min_x"), r6(P.max_coords(a, b)["y"]).alias("max_y"), P.quadrant(a, b, 3).alias("quadrant"), r6(P.offset_point(b, P.quadrant(a, b, 3), 0.5, 3)["z"]).alias("offset_z"), P.out_of_box(a, b, 0.25, 3).alias("out")]), f"{VE} SELECT id, round(least(x, bx), 6) AS min_x, round(greatest(y, b_y), 6) AS max_y, (x > bx)::INT + 2 * (y > b_y)::INT + 4 * (z > bz)::INT AS quadrant, round(bz + CASE WHEN z > bz THEN 0.5 ELSE -0.5 END, 6) AS offset_z, x - 0.25 > bx OR x + 0.25 < bx OR y - 0.25 > b_y OR y + 0.25 < b_y OR z - 0.25 > bz OR z + 0.25 < bz AS out FROM ve")
 AREA = "((bx - x) * (cy - y) - (b_y - y) * (cx - x))"
-add("X18_tri_area", lambda s, d: vectors(s, d).select("id", r6(P.tri_area(a, b, c)).alias("area"), P.counter_clockwise(a, b, c).alias("ccw")), f"{VE} SELECT id, round({AREA}, 6) AS area, {AREA} > 0 AS ccw FROM ve")
-add("X18_tri_area_normalized", lambda s, d: vectors(s, d).select("id", F.round(P.tri_area_normalized(a, b, c), 5).alias("area")), f"{VE} SELECT id, round({AREA} / (sqrt((bx - x) * (bx - x) + (b_y - y) * (b_y - y)) * sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y))), 5) AS area FROM ve")
-origin = P.vec(F.lit(0.125), F.lit(-0.25))
+add("X18_tri_area", abc(lambda a, b, c: [r6(P.tri_area(a, b, c)).alias("area"), P.counter_clockwise(a, b, c).alias("ccw")]), f"{VE} SELECT id, round({AREA}, 6) AS area, {AREA} > 0 AS ccw FROM ve")
+add("X18_tri_area_normalized", abc(lambda a, b, c: [F.round(P.tri_area_normalized(a, b, c), 5).alias("area")]), f"{VE} SELECT id, round({AREA} / (sqrt((bx - x) * (bx - x) + (b_y - y) * (b_y - y)) * sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y))), 5) AS area FROM ve")
+origin = lambda: P.vec(F.lit(0.125), F.lit(-0.25))
 IC = "(SELECT id, x - 0.125 AS ax, y + 0.25 AS ay, bx - 0.125 AS bx, b_y + 0.25 AS b_y, cx - 0.125 AS cx, cy + 0.25 AS cy FROM ve)"
-add("X19_in_circle", lambda s, d: vectors(s, d).select("id", F.round(P.in_circle_value(a, b, c, origin), 5).alias("v")), f"{VE}, p AS (SELECT *, ax * ax + ay * ay AS az, bx * bx + b_y * b_y AS bz, cx * cx + cy * cy AS cz FROM {IC}) SELECT id, round((ay * bz - az * b_y) * cx + (az * bx - ax * bz) * cy + (ax * b_y - ay * bx) * cz, 5) AS v FROM p")
-add("X20_angles", lambda s, d: vectors(s, d).select("id", F.round(P.angle(a, b, c), 3).alias("angle")), f"{VE} SELECT id, round(acos(((bx - x) * (cx - x) + (b_y - y) * (cy - y)) / (sqrt((bx - x) * (bx - x) + (b_y - y) * (b_y - y)) * sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)))) * 180 / 3.14159::DOUBLE, 3) AS angle FROM ve")
+add("X19_in_circle", abc(lambda a, b, c: [F.round(P.in_circle_value(a, b, c, origin()), 5).alias("v")]), f"{VE}, p AS (SELECT *, ax * ax + ay * ay AS az, bx * bx + b_y * b_y AS bz, cx * cx + cy * cy AS cz FROM {IC}) SELECT id, round((ay * bz - az * b_y) * cx + (az * bx - ax * bz) * cy + (ax * b_y - ay * bx) * cz, 5) AS v FROM p")
+add("X20_angles", abc(lambda a, b, c: [F.round(P.angle(a, b, c), 3).alias("angle")]), f"{VE} SELECT id, round(acos(((bx - x) * (cx - x) + (b_y - y) * (cy - y)) / (sqrt((bx - x) * (bx - x) + (b_y - y) * (b_y - y)) * sqrt((cx - x) * (cx - x) + (cy - y) * (cy - y)))) * 180 / 3.14159::DOUBLE, 3) AS angle FROM ve")
 add("X21_parsed_numbers", lambda s, d: table(s, d, "part").select("p_partkey", X.parsed_number(F.regexp_extract("p_brand", "#?(.*)$", 1), "long").alias("n")), "SELECT p_partkey, coalesce(try_cast(trim(regexp_extract(p_brand, '#?(.*)$', 1)) AS BIGINT), 0) AS n FROM part")
 add("X22_atomics", lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("added"), F.min("l_partkey").alias("least"), F.max("l_partkey").alias("most")), "SELECT l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS added, min(l_partkey) AS least, max(l_partkey) AS most FROM lineitem GROUP BY 1")
-add("X23_gravity", lambda s, d: vectors(s, d).select("id", F.round(P.gravity(a, P.vec(F.lit(9.0), F.lit(8.0), F.lit(7.0)), F.lit(2.0), F.lit(3.0))["x"], 7).alias("fx")), f"{VE}, r AS (SELECT id, 9 - x AS dx, (9 - x) * (9 - x) + (8 - y) * (8 - y) + (7 - z) * (7 - z) AS r2 FROM ve) SELECT id, round(dx * 6 / (r2 * sqrt(r2)), 7) AS fx FROM r")
+add("X23_gravity", abc(lambda a, b, c: [F.round(P.gravity(a, P.vec(F.lit(9.0), F.lit(8.0), F.lit(7.0)), F.lit(2.0), F.lit(3.0))["x"], 7).alias("fx")]), f"{VE}, r AS (SELECT id, 9 - x AS dx, (9 - x) * (9 - x) + (8 - y) * (8 - y) + (7 - z) * (7 - z) AS r2 FROM ve) SELECT id, round(dx * 6 / (r2 * sqrt(r2)), 7) AS fx FROM r")
 add("X24_readable_time", lambda s, d: nums(s, d).select("id", X.readable_time((F.col("n") * F.col("n")).cast("double")).alias("t")).where("t like '%micro%'"), f"WITH {NM} SELECT id, (n * n) || ' microseconds' AS t FROM nm WHERE n * n < 1000")
 add("X25_colour_step", lambda s, d: nums(s, d).select("id", X.colour_step(F.col("n") / 1024).alias("c")), f"WITH {NM} SELECT id, least(greatest(floor(n / 1024 * 1530), 0), 1530)::BIGINT AS c FROM nm")
 
@@ -101,12 +107,12 @@ NAMES = {"view": "enter_wait", "click": "exit_wait", "purchase": "enter_algo", "
 
 
 #: Microseconds of a timestamp without a zone, whatever the session's zone.
-MICROS = F.expr("datediff(to_date(ts), date'1970-01-01') * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + cast(extract(SECOND FROM ts) * 1000000 AS bigint)")
+MICROS = ("datediff(to_date(ts), date'1970-01-01') * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L + cast(extract(SECOND FROM ts) * 1000000 AS bigint)")
 
 
 def log(s, d):
     kind = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])[F.col("event_type")]
-    return table(s, d, "events").select(MICROS.alias("time"), F.col("user_id").alias("proc"), F.col("event_id").alias("seq"), kind.alias("type"))
+    return table(s, d, "events").select(F.expr(MICROS).alias("time"), F.col("user_id").alias("proc"), F.col("event_id").alias("seq"), kind.alias("type"))
 
 
 LOG = "lg AS (SELECT epoch_us(ts) AS time, user_id AS proc, event_id AS seq, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in NAMES.items()) + " END AS type FROM events)"
