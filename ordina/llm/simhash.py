@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 # Similarity
 
-WIDE, TABLES, SLACK, GROUP = 512, 64, 4, 16
+WIDE, TABLES, SLACK, GROUP, CELL_BITS = 512, 64, 4, 6, 25
 
 
 def wide_fingerprint(raw: bytes | None, words: int) -> bytes:
@@ -242,7 +242,8 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
 
     grid = common.map_arrow(first.select("id", "fp"), keys, "id long, cell long")
     counts = common.written(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-cells")
-    dealt = grid.join(counts, "cell").select("cell", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.when(F.col("n") > CROWDED, F.col("n") / GROUP).otherwise(1))).alias("part"), "id")
+    # Most cells hold one text: a bit map of the others spares their rows the shuffle.
+    dealt = common.possible(grid, counts, "cell", CELL_BITS).join(counts, "cell").select("cell", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.when(F.col("n") > CROWDED, F.col("n") / GROUP).otherwise(1))).alias("part"), "id")
     members = dealt.groupBy("cell", "part").agg(F.collect_list("id").alias("ids"))
     pairs = members.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda y: y > F.col("a"))).alias("b"))
     pairs = common.written(pairs.distinct(), "wide-pairs")

@@ -145,18 +145,6 @@ def bitmap(table: DataFrame, key: str, bits: int) -> np.ndarray:
     return out.ravel()
 
 
-def possible(table: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """Rows of table whose key passes the filter of the keys, by a join with the filter's parts: 4 KB
-    each and 2**bits / 2**15 of them at the most, whatever the tables."""
-    low = F.col(key).bitwiseAND((1 << bits) - 1)
-    parts = keys.groupBy(F.shiftright(low, 15).alias("_part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("_bits"))
-    place = low.bitwiseAND(32767)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
-    joined = table.withColumn("_part", F.shiftright(low, 15)).join(F.broadcast(parts), "_part")
-    return joined.where(hit).select(*table.columns)
-
-
 def within(filter_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     low = keys.view(np.uint64) & np.uint64((1 << bits) - 1)
     return (filter_[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
@@ -278,7 +266,7 @@ def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     count = F.sum(F.when(F.col("kind") == OFTEN, 2).otherwise(1))
     twice = third.where(F.col("kind").isin(WINDOW, OFTEN)).groupBy("j", "t").agg(count.alias("n")).where("n > 1").select("j", "t")
     twice = common.written(twice, "ranks-3-twice")
-    single = possible(third.where(F.col("kind") == WINDOW), twice, "j", RANK_BITS).join(twice, ["j", "t"]).select("u1", "u2", "lo", "hi")
+    single = common.possible(third.where(F.col("kind") == WINDOW), twice, "j", RANK_BITS).join(twice, ["j", "t"]).select("u1", "u2", "lo", "hi")
     inside = third.where(F.col("kind") == REPEATS).select("u1", "u2", "lo", "hi")
     return sure.unionByName(single).unionByName(inside).groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
