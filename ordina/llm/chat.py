@@ -93,9 +93,10 @@ def paths(messages: DataFrame, best: int = 1) -> DataFrame:
     leaves = reach.join(parents, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "node"))
     found = leaves.withColumn("rank", rank).where(F.col("rank") <= best).select("tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("back"), "node")
+    found = common.written(found, "paths")
     for k in range(len(tables) - 1, -1, -1):
         farther = found.join(tables[k], ["tree", "node"]).select("tree", "leaf", (F.col("back") + (1 << k)).alias("back"), F.col("up").alias("node"))
-        found = found.unionByName(farther)
+        found = common.written(found.unionByName(farther), "paths")  # else the plan doubles with each table
     return found
 
 
@@ -135,7 +136,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     turn = F.col("id")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    done = formatted(linear(rows.unionByName(probe))).select("tree", "formatted", parsed(F.col("formatted")).alias("turns"), under_loss(F.col("segments")).alias("loss"))
+    output = common.written(formatted(linear(rows.unionByName(probe))), "conversations")
+    done = output.select("tree", "formatted", parsed(F.col("formatted")).alias("turns"), under_loss(F.col("segments")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         F.expr("cast(nullif(tree, '') as long)").alias("conv_id"),
