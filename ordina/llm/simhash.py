@@ -25,9 +25,12 @@ WIDE bits, and the share d of differing bits estimates the angle between two tex
 their Jaccard similarity, c / (2 - c) with c = cos(pi d). At 0.8 some 15 % of the bits differ, beyond
 what a grid on all coordinates can serve, so that TABLES grids on a sample of coordinates each (one
 bit a segment, log2(texts) + SLACK of them) give the candidates. A pair at 0.9 shares a cell with a
-probability of over 0.99, one at 0.8 of about 0.8. A crowded cell is dealt out to random small
-groups, other ones in each grid; a large group of near copies stays connected, because each member
-meets others in many grids.
+probability of over 0.99, one at 0.8 of about 0.8. A crowded cell is first dealt out to random small
+groups, which connect a large group of near copies in rows linear in its size. Whatever these links
+leave apart is then compared pair by pair: crowded cells that still hold several components are cut
+into blocks of PAIR_BLOCK texts, each pair of blocks is a task's work, and only links between
+components come back. Blocks within one component are not paired. So each pair of a cell is either
+compared or already connected.
 
 Defined results
   null or empty text   no shingles, fingerprint zero, linked like any other
@@ -202,6 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 # Similarity
 
 WIDE, TABLES, SLACK, GROUP, CELL_BITS = 512, 64, 4, 6, 25
+#: Texts of a crowded cell that are compared with as many others at once.
+PAIR_BLOCK = 2048
 
 
 def wide_fingerprint(raw: bytes | None, words: int) -> bytes:
@@ -219,6 +224,58 @@ def wide_fingerprint(raw: bytes | None, words: int) -> bytes:
     return np.packbits(votes * 2 > total, bitorder="little").tobytes()
 
 
+def bridges(words: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of left x right within most differing bits that join what roots and earlier pairs leave apart."""
+    label = np.unique(roots, return_inverse=True)[1]
+    a, b = [], []
+    for i in left:
+        apart = right[label[right] != label[i]]
+        hits = apart[np.bitwise_count(words[apart] ^ words[i]).sum(axis=1, dtype=np.int64) <= most]
+        if len(hits):
+            joined, at = np.unique(label[hits], return_index=True)
+            a += [i] * len(at)
+            b += hits[at].tolist()
+            label[np.isin(label, joined)] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def crowded_links(members: DataFrame, prints: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """(cell, id) of crowded cells, (id, fp) and the links known -> links (a, b) between components: with
+    them, texts within most bits that share a cell are connected."""
+    if not edges.isEmpty():
+        members = members.join(components(edges).withColumnRenamed("node", "id"), "id", "left")
+    else:
+        members = members.withColumn("root", F.lit(None).cast("long"))
+    members = members.select("cell", "id", F.coalesce("root", "id").alias("root"))
+    several = members.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+    members = common.written(members.join(several, "cell", "left_semi"), "crowded-members")
+    # A component of more than a block has blocks of its own, the others of a cell share theirs.
+    sizes = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("m")).withColumn("large", F.col("m") > PAIR_BLOCK)
+    sizes = common.written(sizes, "crowded-sizes")
+    rest = sizes.where("not large").groupBy("cell").agg(F.sum("m").alias("m"))
+    large = sizes.where("large").select("cell", "root", "m")
+    parts = F.ceil(F.col("m") / PAIR_BLOCK)
+    block = F.struct(F.col("own"), F.pmod(F.xxhash64("id", "cell"), parts).alias("k"))
+    inside = members.join(large, ["cell", "root"]).withColumn("own", F.struct(F.lit(True).alias("large"), F.col("root")))
+    mixed = members.join(large.select("cell", "root"), ["cell", "root"], "left_anti").join(rest, "cell").withColumn("own", F.struct(F.lit(False).alias("large"), F.lit(0).cast("long").alias("root")))
+    placed = common.written(inside.select("cell", "id", "root", block.alias("block")).unionByName(mixed.select("cell", "id", "root", block.alias("block"))), "crowded-blocks")
+    blocks = placed.select("cell", "block").distinct()
+    x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
+    tasks = x.join(y, "cell").where("x <= y and not (x.own.large and x.own = y.own)")
+    tasks = tasks.select("cell", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    work = placed.join(tasks, ["cell", "block"]).join(prints, "id")
+    work = work.select(F.xxhash64("cell", "x", "y").alias("task"), "id", "root", "fp", (F.col("block") == F.col("x")).alias("in_x"), (F.col("block") == F.col("y")).alias("in_y"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        words = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("in_x", "in_y"))
+        a, b = bridges(words, table.column("root").to_numpy(), left, right, most)
+        ids = table.column("id").to_numpy()
+        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()), "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64())})
+
+    return work.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs -> (doc_id, component_id): texts linked where their estimated similarity suffices."""
 
@@ -260,6 +317,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
             yield part
 
     edges = common.written(common.map_arrow(both.select("a", "b", "fp_a", "fp_b"), near, "a long, b long"), "wide-links")
+    full = counts.where(F.col("n") > CROWDED)
+    if not full.isEmpty():
+        members = common.possible(grid, full, "cell", CELL_BITS).join(full, "cell", "left_semi").select("cell", "id")
+        edges = common.written(edges.unionByName(crowded_links(members, first.select("id", "fp"), edges, most)), "wide-links-all")
     if edges.isEmpty():
         return every.join(first.select("id", F.col("first").alias("component_id")), "id").select("doc_id", "component_id")
     named = first.select("id", "first").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -336,6 +336,30 @@ def test_similar_texts(spark, docs):
     assert kept.columns == table.columns and kept.count() == len(set(got.values()))
 
 
+def test_similar_crowded_cells(spark, monkeypatch):
+    # Near pairs among texts of one template, all in the one cell of a single grid.
+    rnd, sampled = random.Random(11), set(np.random.default_rng(0).choice(simhash.WIDE, 8, replace=False).tolist())
+    noisy = lambda bits, share: [bit ^ (k not in sampled and rnd.random() < share) for k, bit in enumerate(bits)]
+    template, prints = [rnd.getrandbits(1) for _ in range(simhash.WIDE)], []
+    for _ in range(120):
+        prints.append(noisy(template, 0.12))
+        if rnd.random() < 0.3:
+            prints.append(noisy(prints[-1], 0.08))
+    packed = [np.packbits(np.array(p, np.uint8), bitorder="little").tobytes() for p in prints]
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda raw, words: bytes.fromhex(raw.decode()))
+    for name, value in {"CROWDED": 3, "GROUP": 2, "PAIR_BLOCK": 8, "SLACK": -6, "TABLES": 1}.items():
+        monkeypatch.setattr(simhash, name, value)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(p.hex() for p in packed)), "doc_id long, text string")).collect()}
+    most = int(np.floor(simhash.WIDE * np.arccos(2 * 0.8 / 1.8) / np.pi))
+    bits, root = np.array(prints), list(range(len(prints)))
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if (bits[i] != bits[j]).sum() <= most:
+            old, new = max(root[i], root[j]), min(root[i], root[j])
+            root = [new if r == old else r for r in root]
+    assert 20 < len(set(root)) < len(root) - 10
+    assert got == dict(enumerate(root))
+
+
 def test_dedup_awkward(spark, awkward, empty):
     kept = simhash.deduplicated(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id = 3").count() == 1
