@@ -23,9 +23,11 @@ are not links.
 Similarity. ``similar`` serves thresholds of similarity rather than of bits: its fingerprints have
 WIDE bits, and the share d of differing bits estimates the angle between two texts' shingles and so
 their Jaccard similarity, c / (2 - c) with c = cos(pi d). At 0.8 some 15 % of the bits differ, beyond
-what a grid on all coordinates can serve, so that TABLES grids on a sample of coordinates each (one
-bit a segment, log2(texts) + SLACK of them) give the candidates. A pair at 0.9 shares a cell with a
-probability of over 0.99, one at 0.8 of about 0.8. A crowded cell is first dealt out to random small
+what a grid on all coordinates can serve, so that grids on a sample of log2(texts) + SLACK
+coordinates each give the candidates. There are TABLES of them at least, and as many more as keep the
+probability that a pair at the threshold shares a cell at RECALL, whatever the number of texts: at
+0.8 they are 67 for 25 thousand texts, 153 for a million, 252 for 8 million. Pairs above the threshold share one
+more often. Candidates are accepted by their estimated similarity. A crowded cell is first dealt out to random small
 groups, which connect a large group of near copies in rows linear in its size. Whatever these links
 leave apart is then compared pair by pair: crowded cells that still hold several components are cut
 into blocks of PAIR_BLOCK texts, each pair of blocks is a task's work, and only links between
@@ -205,6 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 # Similarity
 
 WIDE, TABLES, SLACK, GROUP, CELL_BITS = 512, 64, 4, 6, 25
+#: Chance that a pair at the threshold shares a cell of some grid.
+RECALL = 0.95
 #: Texts of a crowded cell that are compared with as many others at once.
 PAIR_BLOCK = 2048
 
@@ -276,6 +280,18 @@ def crowded_links(members: DataFrame, prints: DataFrame, edges: DataFrame, most:
     return work.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
+def angle(similarity: float) -> float:
+    """The share of differing bits at this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def grids(texts: int, similarity: float) -> tuple[int, int]:
+    """Sampled bits of a cell, and the number of grids that keeps RECALL at the threshold."""
+    bits = min(62, max(8, int(np.ceil(np.log2(max(texts, 2)))) + SLACK))
+    needed = np.log1p(-RECALL) / np.log1p(-((1 - angle(similarity)) ** bits))
+    return bits, max(TABLES, int(np.ceil(needed)))
+
+
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs -> (doc_id, component_id): texts linked where their estimated similarity suffices."""
 
@@ -286,16 +302,16 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     every = common.map_arrow(docs.select("doc_id", "text"), prints, "doc_id long, fp binary")
     every = common.written(every.withColumn("id", F.xxhash64("fp")), "wide-prints")
     first = common.written(every.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "wide-distinct")
-    bits = min(62, max(8, int(np.ceil(np.log2(max(first.count(), 2)))) + SLACK))
-    sample = np.stack([np.random.default_rng(t).choice(WIDE, bits, replace=False) for t in range(TABLES)])
+    bits, tables = grids(first.count(), similarity)
+    sample = np.stack([np.random.default_rng(t).choice(WIDE, bits, replace=False) for t in range(tables)])
     powers = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
 
     def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             table = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
-            cells_ = (table[:, sample].astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), TABLES)), pa.array(cells_.ravel().view(np.int64))], names=["id", "cell"])
+            cells_ = (table[:, sample].astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), tables)), pa.array(cells_.ravel().view(np.int64))], names=["id", "cell"])
 
     grid = common.map_arrow(first.select("id", "fp"), keys, "id long, cell long")
     counts = common.written(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-cells")
@@ -306,8 +322,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     pairs = common.written(pairs.distinct(), "wide-pairs")
     prints_of = lambda name: first.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
     both = pairs.join(prints_of("a"), "a").join(prints_of("b"), "b")
-    least = 2 * similarity / (1 + similarity)  # the cosine at this Jaccard similarity
-    most = int(np.floor(WIDE * np.arccos(least) / np.pi))
+    most = int(np.floor(WIDE * angle(similarity)))
 
     def near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))

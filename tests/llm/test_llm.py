@@ -347,7 +347,7 @@ def test_similar_crowded_cells(spark, monkeypatch):
             prints.append(noisy(prints[-1], 0.08))
     packed = [np.packbits(np.array(p, np.uint8), bitorder="little").tobytes() for p in prints]
     monkeypatch.setattr(simhash, "wide_fingerprint", lambda raw, words: bytes.fromhex(raw.decode()))
-    for name, value in {"CROWDED": 3, "GROUP": 2, "PAIR_BLOCK": 8, "SLACK": -6, "TABLES": 1}.items():
+    for name, value in {"CROWDED": 3, "GROUP": 2, "PAIR_BLOCK": 8, "SLACK": -6, "TABLES": 1, "RECALL": 0}.items():
         monkeypatch.setattr(simhash, name, value)
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(p.hex() for p in packed)), "doc_id long, text string")).collect()}
     most = int(np.floor(simhash.WIDE * np.arccos(2 * 0.8 / 1.8) / np.pi))
@@ -360,6 +360,22 @@ def test_similar_crowded_cells(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_similar_recall(spark, monkeypatch):
+    # Cells of 22 bits, as two hundred thousand texts have, and pairs right at the threshold of 77 bits.
+    monkeypatch.setattr(simhash, "wide_fingerprint", lambda raw, words: bytes.fromhex(raw.decode()))
+    monkeypatch.setattr(simhash, "SLACK", 12)
+    rnd, rows = random.Random(5), []
+    for i in range(300):
+        one = rnd.getrandbits(simhash.WIDE)
+        two = one ^ sum(1 << k for k in rnd.sample(range(simhash.WIDE), 77))
+        rows += [(2 * i + k, f.to_bytes(simhash.WIDE // 8, "little").hex()) for k, f in enumerate((one, two))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) > 0.9 * 300
+    for texts in (2, 25_000, 1_000_000, 8_000_000):
+        bits, tables = simhash.grids(texts, 0.8)
+        assert 1 - (1 - (1 - 77.6 / simhash.WIDE) ** bits) ** tables >= 0.949
+
+
 def test_dedup_awkward(spark, awkward, empty):
     kept = simhash.deduplicated(awkward)
     assert kept.columns == awkward.columns and kept.where("doc_id = 3").count() == 1
