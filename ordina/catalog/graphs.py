@@ -196,6 +196,7 @@ add("IO10_words", lambda s, d: files.words(table(s, d, "documents").select(F.col
 ints = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("v"))
 add("IO11_int_array", lambda s, d: round_trip(s, files.sequence_lines(ints(s, d), "sequenceInt"), files.read_sequence, "a"), "SELECT o_orderkey AS pos, o_custkey AS v FROM orders")
 add("IO12_array_to_string", lambda s, d: files.sequence_lines(ints(s, d).withColumn("v", F.col("v") / 8), "sequenceDouble").where("pos = 0"), "SELECT 0 AS pos, 'sequenceDouble' AS value")
+add("IO12_array_to_string_all", lambda s, d: files.sequence_lines(ints(s, d).withColumn("v", F.col("v") / 8), "sequenceDouble"), "SELECT 0 AS pos, 'sequenceDouble' AS value UNION ALL SELECT o_orderkey + 1, printf('%.11e', o_custkey::DOUBLE / 8) FROM orders")
 add("IO13_sequence_pairs", lambda s, d: round_trip(s, files.sequence_lines(table(s, d, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("first"), F.col("o_custkey").alias("second")), "sequenceStringIntPair"), files.read_sequence, "p"), "SELECT o_orderkey AS pos, o_orderstatus AS first, o_custkey AS second FROM orders")
 pts = lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("x"), (F.col("o_custkey") / 2).alias("y"))
 add("IO14_points", lambda s, d: round_trip(s, files.point_lines(pts(s, d), 2), files.read_points, "q"), "SELECT o_orderkey AS id, o_totalprice AS x, o_custkey::DOUBLE / 2 AS y FROM orders")

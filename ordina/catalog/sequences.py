@@ -92,6 +92,7 @@ add(
     lambda s, d: events_seq(s, d).where("v < -100000").unionByName(events_seq(s, d).where("pos < 0")).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("sum"), F.coalesce(F.max("v"), F.lit(arrays.VALUE_MIN)).alias("max"), F.coalesce(F.min("v"), F.lit(arrays.VALUE_MAX)).alias("min")),
     f"{E_} SELECT coalesce(sum(v), 0)::BIGINT AS sum, coalesce(max(v), -9223372036854775807 - 1) AS max, coalesce(min(v), 9223372036854775807) AS min FROM ev WHERE v < -100000",
 )
+add("A2_sum_max_min_events", lambda s, d: events_seq(s, d).agg(F.sum("v").alias("sum"), F.max("v").alias("max"), F.min("v").alias("min")), f"{E_} SELECT sum(v)::BIGINT AS sum, max(v) AS max, min(v) AS min FROM ev")
 add("A3_reduce_nonempty", lambda s, d: events_seq(s, d).agg(F.min("v").alias("v")), f"{E_} SELECT min(v) AS v FROM ev")
 add("A4_plus_max_reduce", lambda s, d: events_seq(s, d).agg(F.sum("v").alias("plus"), F.max("v").alias("max")), f"{E_} SELECT sum(v)::BIGINT AS plus, max(v) AS max FROM ev")
 add("A5_map_reduce", lambda s, d: arrays.reduced(events_seq(s, d), plan.MAX, lambda v: F.abs(v) % 977), f"{E_} SELECT max(abs(v) % 977) AS v FROM ev")

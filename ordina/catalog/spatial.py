@@ -78,6 +78,9 @@ add("X21_parsed_numbers", lambda s, d: table(s, d, "part").select("p_partkey", X
 add("X22_atomics", lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("added"), F.min("l_partkey").alias("least"), F.max("l_partkey").alias("most")), "SELECT l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS added, min(l_partkey) AS least, max(l_partkey) AS most FROM lineitem GROUP BY 1")
 add("X23_gravity", abc(lambda a, b, c: [F.round(P.gravity(a, P.vec(F.lit(9.0), F.lit(8.0), F.lit(7.0)), F.lit(2.0), F.lit(3.0))["x"], 7).alias("fx")]), f"{VE}, r AS (SELECT id, 9 - x AS dx, (9 - x) * (9 - x) + (8 - y) * (8 - y) + (7 - z) * (7 - z) AS r2 FROM ve) SELECT id, round(dx * 6 / (r2 * sqrt(r2)), 7) AS fx FROM r")
 add("X24_readable_time", lambda s, d: nums(s, d).select("id", X.readable_time((F.col("n") * F.col("n")).cast("double")).alias("t")).where("t like '%micro%'"), f"WITH {NM} SELECT id, (n * n) || ' microseconds' AS t FROM nm WHERE n * n < 1000")
+# Decimal digits rounded half up, in whole numbers.
+TIME = "CASE WHEN us >= 1000000 THEN ((us + 50000) // 100000) // 10 || '.' || ((us + 50000) // 100000) % 10 || ' seconds' WHEN us >= 100000 THEN ((us + 5000) // 10000) // 100 || '.' || lpad((((us + 5000) // 10000) % 100)::VARCHAR, 2, '0') || ' seconds' WHEN us >= 10000 THEN ((us + 50) // 100) // 10 || '.' || ((us + 50) // 100) % 10 || ' milliseconds' WHEN us >= 1000 THEN ((us + 5) // 10) // 100 || '.' || lpad((((us + 5) // 10) % 100)::VARCHAR, 2, '0') || ' milliseconds' ELSE us || ' microseconds' END"
+add("X24_readable_time_all", lambda s, d: nums(s, d).select("id", X.readable_time((F.col("n") * F.col("n")).cast("double")).alias("t")), f"WITH {NM} SELECT id, {TIME} AS t FROM (SELECT id, n * n AS us FROM nm)")
 add("X25_colour_step", lambda s, d: nums(s, d).select("id", X.colour_step(F.col("n") / 1024).alias("c")), f"WITH {NM} SELECT id, least(greatest(floor(n / 1024 * 1530), 0), 1530)::BIGINT AS c FROM nm")
 
 # Trees, neighbours, hull, forces
