@@ -6,9 +6,9 @@ modified Kneser-Ney smoothing, per language and order. Characters are lower-case
 0, white space as one blank, and a text has a blank before and after. A 4-gram is one long of four
 16-bit characters (beyond those, U+FFFD), so no two n-grams are mixed up when counted.
 
-Storage. An order's probabilities and back-off weights are arrays sorted by a hash of (language,
-n-gram). Hashes have HASH_BITS bits, n-grams that share one are summed, and so an order never holds
-more than 2**HASH_BITS entries: what is sent to executors is bounded (SENT_MB), whatever the corpus.
+Storage. Per language and order, all n-grams in sorted arrays with their probabilities, and all
+contexts with their back-off weights: 12 bytes each, looked up by their full 64 bits, so that no two
+share an entry. What is sent to executors grows with the number of distinct n-grams.
 
 Rules. base_failed: fewer than 50 words, or over half of the words in 3-word windows that occur at
 least twice. A text that passes is rejected if its log-perplexity lies outside of its language's
@@ -35,16 +35,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 4
-HASH_BITS = 22
-#: Orders 1 to 4 with a hash, a probability and a weight of 4 bytes each, at the most.
-SENT_MB = 4 * 12 * (1 << HASH_BITS) // 1_000_000
 BLOCK = 1 << 20
 BAND = 5.0
 MIN_SPREAD = 0.015
@@ -124,10 +120,6 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 # The model
 
 
-def hashed(lang: Column, gram: Column) -> Column:
-    return F.xxhash64(lang, gram).bitwiseAND((1 << HASH_BITS) - 1)
-
-
 def discounts(table: DataFrame) -> DataFrame:
     """(lang, c) -> d1, d2, d3 per language, after Chen and Goodman; bounded to sensible values."""
     few = [F.count(F.when(F.col("c") == i, True)).alias(f"n{i}") for i in range(1, 5)]
@@ -174,46 +166,38 @@ def smoothed(counts: DataFrame) -> list[DataFrame]:
 
 
 class Model:
-    """Per order, arrays sorted by hash: probabilities, and weights of contexts."""
+    """Per order and language, n-grams in sorted arrays with probabilities, and contexts with weights."""
 
     def __init__(self, probabilities, weights, unseen: dict):
         self.probabilities, self.weights, self.unseen = probabilities, weights, unseen
-        self.tables = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "tables": None}
-
-    def dense(self):
-        """For look-ups, spread over the hash space once in a worker."""
-        if self.tables is None:
-            spread = []
-            for keys, values in [*self.probabilities, *self.weights]:
-                table = np.full(1 << HASH_BITS, np.nan, np.float32)
-                table[keys] = values
-                spread.append(table)
-            self.tables = spread[:ORDER], spread[ORDER:]
-        return self.tables
+
+    @staticmethod
+    def look_up(table: dict, lang: str, gram: np.ndarray) -> np.ndarray:
+        """A value for each n-gram, nan for those that the table does not hold."""
+        if lang not in table:
+            return np.full(len(gram), np.nan, np.float32)
+        keys, values = table[lang]
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        return np.where(keys[at] == gram, values[at], np.float32(np.nan))
 
     def log_loss(self, lang: str, blocks) -> tuple[float, int]:
         """Sum of -log p and number of 4-grams."""
-        p_tables, w_tables = self.dense()
         loss, n, floor = 0.0, 0, self.unseen.get(lang, 1e-4)
-        seed = lang_seed(lang)
         for block in blocks:
-            p = p_tables[3][hash_grams(seed, block)]
+            p = self.look_up(self.probabilities[3], lang, block)
             scale, todo = np.ones(len(block), np.float32), np.flatnonzero(np.isnan(p))
             gram = block[todo]
             for order in range(ORDER, 0, -1):
                 if not len(todo):
                     break
                 # Not seen at this order: the context's weight times the order below.
-                w = w_tables[order - 1][hash_grams(seed, gram >> np.uint64(16))]
+                w = self.look_up(self.weights[order - 1], lang, gram >> np.uint64(16))
                 scale[todo] *= np.where(np.isnan(w), 1, w)
                 if order == 1:
                     p[todo] = scale[todo] * floor
                     break
                 gram = gram & np.uint64((1 << (16 * (order - 1))) - 1)
-                below = p_tables[order - 2][hash_grams(seed, gram)]
+                below = self.look_up(self.probabilities[order - 2], lang, gram)
                 found = ~np.isnan(below)
                 p[todo[found]] = scale[todo[found]] * below[found]
                 todo, gram = todo[~found], gram[~found]
@@ -222,40 +206,25 @@ class Model:
         return loss, n
 
 
-# XXH64 of one long, seeded by the XXH64 of the language: what Spark's xxhash64(lang, gram) computes.
-P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def lang_seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang.encode(), 42)
-
-
 def lang_key(lang: str | None) -> str:
     """Languages as non-null keys: the null language is the empty key."""
     return "" if lang is None else f"={lang}"
 
 
-def rotated(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-def hash_grams(seed: int, gram: np.ndarray) -> np.ndarray:
-    start = np.uint64((seed + int(P5) + 8) & 0xFFFFFFFFFFFFFFFF)
-    h = start ^ (rotated(gram * P2, 31) * P1)
-    h = rotated(h, 27) * P1 + P4
-    h = (h ^ (h >> np.uint64(33))) * P2
-    h = (h ^ (h >> np.uint64(29))) * P3
-    return (h ^ (h >> np.uint64(32))) & np.uint64((1 << HASH_BITS) - 1)
-
-
 def fit(docs: DataFrame) -> Model:
     tables = smoothed(common.written(gram_counts(docs), "grams"))
 
-    def stored(table: DataFrame, gram: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-        held = table.select(hashed(F.col("lang"), F.col(gram)).alias("k"), value).groupBy("k").agg(F.sum(value).alias("v")).toArrow()
-        keys = held["k"].to_numpy().astype(np.uint32)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.minimum(held["v"].to_numpy(), 1.0).astype(np.float32)[order]
+    def stored(table: DataFrame, gram: str, value: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        held = table.select("lang", F.col(gram).alias("k"), F.col(value).cast("float").alias("v")).toArrow().combine_chunks()
+        langs, out = held["lang"].combine_chunks().dictionary_encode(), {}
+        if isinstance(langs, pa.ChunkedArray):
+            langs = langs.combine_chunks()
+        codes, keys, values = langs.indices.to_numpy(), held["k"].to_numpy().view(np.uint64), held["v"].to_numpy()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            own = np.flatnonzero(codes == code)
+            own = own[np.argsort(keys[own])]
+            out[lang] = keys[own], values[own]
+        return out
 
     rare = {r.lang: r.p for r in tables[0].groupBy("lang").agg(F.first(F.col("w") / (F.col("kinds") + 1)).alias("p")).collect()}  # a row per language
     weights = [t.select("lang", "context", "w").distinct() for t in tables]

@@ -234,6 +234,19 @@ def test_perplexity_model(spark):
         assert got[i].base_failed and not got[i].kept
 
 
+def test_perplexity_keeps_ngrams_apart(spark):
+    # More distinct n-grams than 22 bits could hold without many sharing a place.
+    rnd = random.Random(3)
+    texts = ["".join(chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(4000)) for _ in range(100)]
+    table = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = perplexity.fit(table)
+    grams = np.unique(np.concatenate([g for t in texts for g in perplexity.grams(t.encode())]))
+    keys, _ = model.probabilities[3]["=zh"]
+    assert np.array_equal(keys, grams)
+    unseen = np.setdiff1d(grams ^ np.uint64(1 << 20), grams)
+    assert np.isnan(model.look_up(model.probabilities[3], "=zh", unseen)).all()
+
+
 def test_perplexity_rules(spark, docs):
     texts = {r.doc_id: r.text for r in docs.collect()}
     rows = perplexity.query(spark, DATA).collect()
