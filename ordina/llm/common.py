@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..plans.scratch import scratch_path, written
+from ..plans.scratch import scratch_path, scratch_scope, written
 from ..plans.shipping import ship
 
-__all__ = ["WORD", "crc32_mod", "decoded", "extended", "map_arrow", "possible", "scratch_path", "ship", "small_batches", "texts", "written"]
+__all__ = ["WORD", "bit_at", "crc32_mod", "decoded", "extended", "map_arrow", "possible", "scratch_path", "scratch_scope", "ship", "small_batches", "texts", "with_id", "written"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,16 +57,25 @@ def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def with_id(docs: DataFrame, more: str) -> StructType:
+    """The schema of a table's doc_id, of whatever type, and more columns."""
+    return extended(StructType([docs.schema["doc_id"]]), more)
+
+
+def bit_at(bits: str, place: Column) -> Column:
+    """Whether the bit at this place of a binary column is set."""
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+
+
 def possible(table: DataFrame, keys: DataFrame, key: str, bits: int) -> DataFrame:
     """Rows of table whose key passes the filter of the keys, by a join with the filter's parts: 4 KB
     each and 2**bits / 2**15 of them at the most, whatever the tables."""
     low = F.col(key).bitwiseAND((1 << bits) - 1)
     parts = keys.groupBy(F.shiftright(low, 15).alias("_part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("_bits"))
     place = low.bitwiseAND(32767)
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, place.bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
     joined = table.withColumn("_part", F.shiftright(low, 15)).join(F.broadcast(parts), "_part")
-    return joined.where(hit).select(*table.columns)
+    return joined.where(bit_at("_bits", place)).select(*table.columns)
 
 
 def crc32_mod(column: str, divisor: int) -> Column:

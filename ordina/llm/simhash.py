@@ -20,19 +20,20 @@ them: 65 rows a member whatever the size of the cell, and the same components.
 Components are found by alternating star contractions over links of distinct fingerprints; copies
 are not links.
 
-Similarity. ``similar`` serves thresholds of similarity rather than of bits: its fingerprints have
-WIDE bits, and the share d of differing bits estimates the angle between two texts' shingles and so
-their Jaccard similarity, c / (2 - c) with c = cos(pi d). At 0.8 some 15 % of the bits differ, beyond
-what a grid on all coordinates can serve, so that grids on a sample of log2(texts) + SLACK
-coordinates each give the candidates. There are TABLES of them at least, and as many more as keep the
-probability that a pair at the threshold shares a cell at RECALL, whatever the number of texts: at
-0.8 they are 67 for 25 thousand texts, 153 for a million, 252 for 8 million. Pairs above the threshold share one
-more often. Candidates are accepted by their estimated similarity. A crowded cell is first dealt out to random small
-groups, which connect a large group of near copies in rows linear in its size. Whatever these links
-leave apart is then compared pair by pair: crowded cells that still hold several components are cut
-into blocks of PAIR_BLOCK texts, each pair of blocks is a task's work, and only links between
-components come back. Blocks within one component are not paired. So each pair of a cell is either
-compared or already connected.
+Similarity. ``similar`` serves thresholds of Jaccard similarity over shingles. At 0.8 some 15 % of the
+bits of two whole texts' fingerprints differ, far beyond what a grid can serve whatever the number of
+texts. So a text has PRINTS fingerprints there, each of the SAMPLE shingles that come first under one
+of PRINTS random orders. Two texts of similarity s draw the same sample with a probability of about
+s**SAMPLE, and equal samples have equal fingerprints: at 0.8 a pair shares one of 14 with 0.996, at
+0.9 with more than 0.9999, in any number of texts. Embedding and grid are those for a radius of zero, where a
+cell is the fingerprint itself. Candidates are verified exactly, by the shingles of whole texts.
+
+Groups. Texts of equal shingles are one node. In each cell every member is verified against the
+smallest, unless other cells have connected them; so a cell gives no more pairs than it has members. Cells whose members these links
+leave in several components are then compared wholly: in blocks of bounded size, a pair of blocks is a
+task's work, only links between components come back, and blocks of one component are not paired. So
+each pair of a cell is compared or already connected; the work in a cell of many texts that are no
+near copies grows with the square of its size, but no rows do.
 
 Defined results
   null or empty text   no shingles, fingerprint zero, linked like any other
@@ -41,8 +42,11 @@ Defined results
   ties in a vote       exactly half does not set the bit
   repeated rows        equal rows, equal results; equal doc_ids stay as they are
   null doc_id          never the smallest of its component unless all are null
+  shared doc_ids       each row is a document by itself; ``deduplicated`` keeps one row of a group,
+                       that of the smallest doc_id, and among equal ids the first one stored
+  doc_id of any type   kept; components are named by the smallest one
   empty table          no rows
-  extra columns        not read
+  extra columns        not read; ``deduplicated`` keeps them, whatever their names
 """
 
 from __future__ import annotations
@@ -65,18 +69,21 @@ CROWDED = 64
 VOTES = 1 << 16
 
 
-def fingerprint(raw: bytes | None, words: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
+def shingles(raw: bytes | None, words: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; a shorter text is one shingle, no words are none."""
     found = (raw or b"").lower().split()
-    if not found:
-        return 0
-    joined = b" ".join(found)
+    joined, digest = b" ".join(found), xxhash.xxh64_intdigest
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([digest(joined, SEED)] if found else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = ([0, *(ends[: len(found) - words]).tolist()], (ends[words - 1 :] - 1).tolist())
-    digest, total, votes = xxhash.xxh64_intdigest, len(found) - words + 1, np.zeros(64, np.int64)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(*starts, strict=True)), np.uint64, total)
+    bounds = zip([0, *ends[: len(found) - words].tolist()], (ends[words - 1 :] - 1).tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, len(found) - words + 1)
+
+
+def fingerprint(raw: bytes | None, words: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of a text."""
+    hashes, votes = shingles(raw, words), np.zeros(64, np.int64)
+    total = len(hashes)
     for at in range(0, total, VOTES):
         part = hashes[at : at + VOTES]
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -90,7 +97,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
         fps = np.array([fingerprint(raw, words) for raw in common.texts(batch)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return common.map_arrow(docs.select("doc_id", "text"), run, common.with_id(docs, "fp long"))
 
 
 def embedded(fp: Column) -> Column:
@@ -206,151 +213,225 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 # Similarity
 
-WIDE, TABLES, SLACK, GROUP, CELL_BITS = 512, 64, 4, 6, 25
-#: Chance that a pair at the threshold shares a cell of some grid.
-RECALL = 0.95
-#: Texts of a crowded cell that are compared with as many others at once.
-PAIR_BLOCK = 2048
+#: Fingerprints of a text, and shingles in the sample of each.
+PRINTS, SAMPLE = 14, 5
+#: Shingles and texts of a block: what one task compares with as many others at once.
+BLOCK_SHINGLES, BLOCK_TEXTS = 1 << 19, 1024
+#: Shingles laid out as columns at once when a block is compared.
+COLUMNS = 2048
+#: Bit maps of rows that are broadcast at the most: 32 MB, for 268 million rows.
+MAPS = 8192
+ORDERS = np.random.default_rng(SEED).integers(1, 1 << 63, PRINTS, np.uint64)
 
 
-def wide_fingerprint(raw: bytes | None, words: int) -> bytes:
-    """WIDE bits, each by the votes of all shingles."""
-    found = (raw or b"").lower().split()
-    votes, digest = np.zeros(WIDE, np.int64), xxhash.xxh64_intdigest
-    total = max(len(found) - words + 1, 1 if found else 0)
-    salts = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
-    for at in range(0, total, VOTES):
-        part = np.fromiter((digest(b" ".join(found[k : k + words]), SEED) for k in range(at, min(at + VOTES, total))), np.uint64)[:, None] ^ salts
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
-            part = (part ^ (part >> np.uint64(shift))) * np.uint64(factor)
-        for block in np.array_split(part, max(1, len(part) // 4096)):
-            votes += np.unpackbits(block.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > total, bitorder="little").tobytes()
-
-
-def bridges(words: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs of left x right within most differing bits that join what roots and earlier pairs leave apart."""
-    label = np.unique(roots, return_inverse=True)[1]
-    a, b = [], []
-    for i in left:
-        apart = right[label[right] != label[i]]
-        hits = apart[np.bitwise_count(words[apart] ^ words[i]).sum(axis=1, dtype=np.int64) <= most]
-        if len(hits):
-            joined, at = np.unique(label[hits], return_index=True)
-            a += [i] * len(at)
-            b += hits[at].tolist()
-            label[np.isin(label, joined)] = label[i]
-    return np.array(a, np.int64), np.array(b, np.int64)
-
-
-def crowded_links(members: DataFrame, prints: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(cell, id) of crowded cells, (id, fp) and the links known -> links (a, b) between components: with
-    them, texts within most bits that share a cell are connected."""
-    if not edges.isEmpty():
-        members = members.join(components(edges).withColumnRenamed("node", "id"), "id", "left")
+def shingle_set(raw: bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct shingles."""
+    return np.unique(shingles(raw, words))
+
+
+def sampled(found: np.ndarray) -> np.ndarray:
+    """The distinct fingerprints of the samples of a shingle set: bits set in over half of a sample."""
+    if len(found) <= SAMPLE:
+        samples = found[None]
     else:
-        members = members.withColumn("root", F.lit(None).cast("long"))
-    members = members.select("cell", "id", F.coalesce("root", "id").alias("root"))
-    several = members.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("cell")
+        picked = []
+        for orders in np.array_split(ORDERS, 1 if len(found) < VOTES else PRINTS):
+            mixed = (found[None] ^ orders[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            picked.append(found[np.argpartition(mixed, SAMPLE - 1, axis=1)[:, :SAMPLE]])
+        samples = np.concatenate(picked)
+    bits = np.unpackbits(np.ascontiguousarray(samples).view(np.uint8).reshape(*samples.shape, 8), axis=2, bitorder="little")
+    return np.unique(np.packbits(bits.sum(axis=1) * 2 > samples.shape[1], axis=1, bitorder="little").view("<u8"))
+
+
+def shingled(docs: DataFrame, words: int) -> DataFrame:
+    """docs -> a numbered row each: row, doc (the document), u1 and u2 (a digest of its shingle set), n
+    (its size) and cells (its fingerprints)."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        one, two, sizes, cells_ = [], [], [], []
+        for raw in common.texts(pa.RecordBatch.from_struct_array(batch.column("doc"))):
+            found = shingle_set(raw, words)
+            both = xxhash.xxh3_128_intdigest(found.tobytes())
+            one.append(signed(both >> 64))
+            two.append(signed(both & (1 << 64) - 1))
+            sizes.append(len(found))
+            cells_.append(sampled(found).view(np.int64))
+        columns = [batch.column("doc"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells_, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "u1", "u2", "n", "cells"])
+
+    found = common.map_arrow(whole, run, common.extended(whole.schema, "u1 long, u2 long, n long, cells array<long>"))
+    return common.written(found.withColumn("row", F.monotonically_increasing_id()), "shingled", keep=True)
+
+
+def picked(every: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``shingled`` whose number is in rows (row): by a bit map for each 32768 numbers. Up to
+    MAPS of them (4 KB each) are broadcast, so that texts are not shuffled; more are joined."""
+    place = F.col("row").bitwiseAND(32767)
+    maps = common.written(rows.groupBy(F.shiftright("row", 15).alias("part")).agg(F.bitmap_construct_agg(place).alias("bits")), "picked", keep=True)
+    sent = F.broadcast(maps) if maps.count() <= MAPS else maps
+    return every.withColumn("part", F.shiftright("row", 15)).join(sent, "part").where(common.bit_at("bits", place)).drop("part", "bits")
+
+
+def texts_of(every: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows named by ids (id)."""
+    return picked(every.select("row", F.col("doc.text").alias("text")), ids.select(F.col("id").alias("row"))).select(F.col("row").alias("id"), "text")
+
+
+def common_shingles(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of left x right sets, exactly."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[column] > 1)
+    owner, column = owner[several], np.unique(column[several], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[part], column[part] - at] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def bridges(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of roots that similar pairs of left x right join, as few as connect the same."""
+    sizes = np.array([len(x) for x in sets], np.float32)
+    shared = common_shingles(sets, left, right)
+    close = shared >= similarity * (sizes[left][:, None] + sizes[right][None] - shared) - 1e-4
+    i, j = np.nonzero(close & (roots[left][:, None] != roots[right][None]))
+    parent: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in np.unique(np.stack([roots[left[i]], roots[right[j]]], axis=1), axis=0).tolist():
+        a, b = top(a), top(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((min(a, b), max(a, b)))
+    return out
+
+
+def crowded_links(members: DataFrame, every: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(cell, id, n, root) -> links (a, b) of roots: with them, similar texts of a cell are connected."""
+    several = members.groupBy("cell").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("same")
+    )
+    # Cells of two have been compared; cells of the same members are compared once.
+    several = several.where("lo < hi and m > 2").groupBy("m", "same", "lo", "hi").agg(F.min("cell").alias("cell")).select("cell")
     members = common.written(members.join(several, "cell", "left_semi"), "crowded-members")
+    if members.isEmpty():
+        return members.select(F.col("root").alias("a"), F.col("root").alias("b"))
     # A component of more than a block has blocks of its own, the others of a cell share theirs.
-    sizes = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("m")).withColumn("large", F.col("m") > PAIR_BLOCK)
-    sizes = common.written(sizes, "crowded-sizes")
-    rest = sizes.where("not large").groupBy("cell").agg(F.sum("m").alias("m"))
-    large = sizes.where("large").select("cell", "root", "m")
-    parts = F.ceil(F.col("m") / PAIR_BLOCK)
-    block = F.struct(F.col("own"), F.pmod(F.xxhash64("id", "cell"), parts).alias("k"))
-    inside = members.join(large, ["cell", "root"]).withColumn("own", F.struct(F.lit(True).alias("large"), F.col("root")))
-    mixed = members.join(large.select("cell", "root"), ["cell", "root"], "left_anti").join(rest, "cell").withColumn("own", F.struct(F.lit(False).alias("large"), F.lit(0).cast("long").alias("root")))
+    sizes = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK_SHINGLES, F.col("m") / BLOCK_TEXTS, F.lit(1)))
+    sizes = common.written(sizes.withColumn("parts", parts), "crowded-sizes")
+    rest = sizes.where("parts = 1").groupBy("cell").agg(F.sum("m").alias("m"), F.sum("n").alias("n")).withColumn("parts", parts).select("cell", "parts")
+    large = sizes.where("parts > 1").select("cell", "root", "parts")
+    block = F.struct("own", F.pmod(F.xxhash64("id", "cell"), F.col("parts")).alias("k"))
+    own = lambda large_, root: F.struct(F.lit(large_).alias("large"), root.alias("root"))
+    inside = members.join(large, ["cell", "root"]).withColumn("own", own(True, F.col("root")))
+    mixed = members.join(large.select("cell", "root"), ["cell", "root"], "left_anti").join(rest, "cell").withColumn("own", own(False, F.lit(0).cast("long")))
     placed = common.written(inside.select("cell", "id", "root", block.alias("block")).unionByName(mixed.select("cell", "id", "root", block.alias("block"))), "crowded-blocks")
     blocks = placed.select("cell", "block").distinct()
     x, y = blocks.withColumnRenamed("block", "x"), blocks.withColumnRenamed("block", "y")
     tasks = x.join(y, "cell").where("x <= y and not (x.own.large and x.own = y.own)")
     tasks = tasks.select("cell", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    work = placed.join(tasks, ["cell", "block"]).join(prints, "id")
-    work = work.select(F.xxhash64("cell", "x", "y").alias("task"), "id", "root", "fp", (F.col("block") == F.col("x")).alias("in_x"), (F.col("block") == F.col("y")).alias("in_y"))
+    texts = texts_of(every, members.select("id"))
+    work = placed.join(tasks, ["cell", "block"]).join(texts, "id")
+    work = work.select(F.xxhash64("cell", "x", "y").alias("task"), "root", "text", (F.col("block") == F.col("x")).alias("in_x"), (F.col("block") == F.col("y")).alias("in_y"))
 
     def compare(table: pa.Table) -> pa.Table:
-        words = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        sets = [shingle_set(raw, words) for batch in table.to_batches() for raw in common.texts(batch)]
         left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("in_x", "in_y"))
-        a, b = bridges(words, table.column("root").to_numpy(), left, right, most)
-        ids = table.column("id").to_numpy()
-        return pa.table({"a": pa.array(np.minimum(ids[a], ids[b]), pa.int64()), "b": pa.array(np.maximum(ids[a], ids[b]), pa.int64())})
+        found = bridges(sets, table.column("root").to_numpy(), left, right, similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return work.groupBy("task").applyInArrow(compare, "a long, b long").distinct()
 
 
-def angle(similarity: float) -> float:
-    """The share of differing bits at this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def verified(pairs: DataFrame, every: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are similar."""
+    pairs = common.written(pairs, "pairs")
+    texts = common.written(texts_of(every, pairs.select(F.explode(F.array("a", "b")).alias("id"))), "pair-texts")
+    named = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
 
-
-def grids(texts: int, similarity: float) -> tuple[int, int]:
-    """Sampled bits of a cell, and the number of grids that keeps RECALL at the threshold."""
-    bits = min(62, max(8, int(np.ceil(np.log2(max(texts, 2)))) + SLACK))
-    needed = np.log1p(-RECALL) / np.log1p(-((1 - angle(similarity)) ** bits))
-    return bits, max(TABLES, int(np.ceil(needed)))
+    def near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hit, last, held = [], None, np.empty(0, np.uint64)
+        for i, (a, b) in enumerate(zip(common.texts(batch, "text_a"), common.texts(batch, "text_b"), strict=True)):
+            if i == 0 or a != last:
+                last, held = a, shingle_set(a, words)
+            other = shingle_set(b, words)
+            shared = len(np.intersect1d(held, other, assume_unique=True))
+            if shared >= similarity * (len(held) + len(other) - shared) - 1e-9:
+                hit.append(i)
+        if hit:
+            yield batch.select(["a", "b"]).take(pa.array(hit))
+
+    both = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b")
+    return common.written(common.map_arrow(both, near, "a long, b long"), "links")
+
+
+def rooted(nodes: DataFrame, links_: DataFrame) -> DataFrame:
+    """Rows (id, root) of all nodes (id): the smallest that its links reach."""
+    if links_.isEmpty():
+        return nodes.select("id", F.col("id").alias("root"))
+    linked = components(links_).withColumnRenamed("node", "id")
+    return common.written(nodes.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
+
+
+def star_links(members: DataFrame, every: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(cell, id, n, rep) -> links (a, b) of each cell's smallest member and those similar to it, as many
+    as connect the same: a text is first verified against the smallest of all its cells, and then only
+    against those of cells that this has left apart."""
+    ratio = F.least("n", "rep.n") >= similarity * F.greatest("n", "rep.n") - 1e-9
+    pairs = members.where((F.col("id") != F.col("rep.id")) & ratio).select(F.col("rep.id").alias("a"), F.col("id").alias("b"))
+    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), every, words, similarity)
+    roots = rooted(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), first)
+    of = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = pairs.distinct().join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select("a", "b")
+    return first.unionByName(verified(apart, every, words, similarity))
+
+
+def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """docs -> their numbered rows (see ``shingled``), and (u1, u2, least) by shingle set: the doc_id and
+    the row of the smallest document that its group reaches."""
+    with common.scratch_scope(docs.sparkSession):
+        every = shingled(docs, words)
+        least = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
+        first = every.groupBy("u1", "u2").agg(F.min("row").alias("id"), F.min(least).alias("least"), F.min_by(F.struct("n", "cells"), "row").alias("s"))
+        first = common.written(first.select("u1", "u2", "id", "least", "s.n", "s.cells"), "distinct-sets")
+        grid = first.select("id", "n", F.explode("cells").alias("cell"))
+        reps = grid.groupBy("cell").agg(F.min(F.struct("id", "n")).alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        members = common.written(grid.join(common.written(reps, "shared-cells"), "cell"), "members")
+        roots = rooted(first.select("id"), star_links(members, every, words, similarity))
+        more = crowded_links(members.where("m > 2").select("cell", "id", "n").join(roots, "id"), every, words, similarity)
+        more = common.written(more, "crowded-links")
+        if not more.isEmpty():
+            top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            roots = roots.join(top, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        named = first.select("u1", "u2", "id", "least").join(roots, "id")
+        smallest = named.groupBy("root").agg(F.min("least").alias("least"))
+        return every, common.written(named.drop("least").join(smallest, "root").select("u1", "u2", "least"), "classes", keep=True)
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs -> (doc_id, component_id): texts linked where their estimated similarity suffices."""
-
-    def prints(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        fps = pa.array([wide_fingerprint(raw, words) for raw in common.texts(batch)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
-
-    every = common.map_arrow(docs.select("doc_id", "text"), prints, "doc_id long, fp binary")
-    every = common.written(every.withColumn("id", F.xxhash64("fp")), "wide-prints")
-    first = common.written(every.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "wide-distinct")
-    bits, tables = grids(first.count(), similarity)
-    sample = np.stack([np.random.default_rng(t).choice(WIDE, bits, replace=False) for t in range(tables)])
-    powers = np.left_shift(np.uint64(1), np.arange(bits, dtype=np.uint64))
-
-    def keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            table = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1, bitorder="little")
-            cells_ = (table[:, sample].astype(np.uint64) * powers).sum(axis=2, dtype=np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), tables)), pa.array(cells_.ravel().view(np.int64))], names=["id", "cell"])
-
-    grid = common.map_arrow(first.select("id", "fp"), keys, "id long, cell long")
-    counts = common.written(grid.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-cells")
-    # Most cells hold one text: a bit map of the others spares their rows the shuffle.
-    dealt = common.possible(grid, counts, "cell", CELL_BITS).join(counts, "cell").select("cell", F.pmod(F.xxhash64("id", "cell"), F.ceil(F.when(F.col("n") > CROWDED, F.col("n") / GROUP).otherwise(1))).alias("part"), "id")
-    members = dealt.groupBy("cell", "part").agg(F.collect_list("id").alias("ids"))
-    pairs = members.select(F.explode("ids").alias("a"), "ids").select("a", F.explode(F.filter("ids", lambda y: y > F.col("a"))).alias("b"))
-    pairs = common.written(pairs.distinct(), "wide-pairs")
-    prints_of = lambda name: first.select(F.col("id").alias(name), F.col("fp").alias(f"fp_{name}"))
-    both = pairs.join(prints_of("a"), "a").join(prints_of("b"), "b")
-    most = int(np.floor(WIDE * angle(similarity)))
-
-    def near(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("fp_a", "fp_b"))
-        close = pa.array(np.flatnonzero(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most))
-        part = batch.select(["a", "b"]).take(close)
-        if part.num_rows:
-            yield part
-
-    edges = common.written(common.map_arrow(both.select("a", "b", "fp_a", "fp_b"), near, "a long, b long"), "wide-links")
-    full = counts.where(F.col("n") > CROWDED)
-    if not full.isEmpty():
-        members = common.possible(grid, full, "cell", CELL_BITS).join(full, "cell", "left_semi").select("cell", "id")
-        edges = common.written(edges.unionByName(crowded_links(members, first.select("id", "fp"), edges, most)), "wide-links-all")
-    if edges.isEmpty():
-        return every.join(first.select("id", F.col("first").alias("component_id")), "id").select("doc_id", "component_id")
-    named = first.select("id", "first").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    roots = common.written(named.join(smallest, "root").select("id", "component_id"), "wide-classes")
-    return every.select("doc_id", "id").join(roots, "id").select("doc_id", "component_id")
+    """docs -> (doc_id, component_id): texts linked whose shingle sets have this Jaccard similarity at least."""
+    every, classes_ = grouped(docs, words, similarity)
+    return every.select("u1", "u2", F.col("doc.doc_id").alias("doc_id")).join(classes_, ["u1", "u2"]).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of similar texts, that of the smallest doc_id. Rows without an id stay."""
-    first = common.written(similar(docs, words, similarity).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "representatives")
-    kept = docs.join(first, "doc_id").select(*docs.columns)
-    if not first.where("_n > 1").isEmpty():  # an id that several rows share
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs with one row of each group of similar texts, that of the smallest doc_id."""
+    every, classes_ = grouped(docs, words, similarity)
+    return picked(every.select("row", "doc"), classes_.select("least.row").distinct()).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
