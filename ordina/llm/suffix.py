@@ -21,8 +21,9 @@ twice; one group of each repeated pair stands by for its copies there. Windows w
 enter round 3 directly. So all repeats are found, and only the edges of shared passages come down to
 single positions.
 
-Filters of a fixed size (bit maps of hashed keys) spare rows and texts the shuffle that have no
-match; what they let through wrongly is dropped by the join that follows.
+Filters (bit maps of hashed keys) spare rows and texts the shuffle that have no match; what they let
+through wrongly is dropped by the join that follows. A filter has SPARSE bits for each key, 32 MB at
+the most: it is sent to all executors.
 
 Defined results
   null or empty text   no bytes, nothing removed
@@ -30,7 +31,8 @@ Defined results
   very long text       read whole
   repeated rows        copies of a text of threshold bytes or more are removed wholly
   empty table          no rows
-  extra columns        kept by ``deduplicated``; ``spans`` reads the text alone
+  doc_id of any type   kept
+  extra columns        kept by ``deduplicated``, whatever their names; ``spans`` reads the text alone
 """
 
 from __future__ import annotations
@@ -48,7 +50,8 @@ from . import common
 
 THRESHOLD = 400
 CONTEXT = 8
-RANK_BITS, TEXT_BITS = 25, 22
+#: Bits of a filter for each key, and the most bits that it has, as a power of two.
+SPARSE, MOST_BITS = 16, 28
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,19 +138,26 @@ def windowed(raw: bytes, ranges: list[tuple[int, int]], threshold: int) -> tuple
 # Filters
 
 
-def bitmap(table: DataFrame, key: str, bits: int) -> np.ndarray:
-    """A bit for each value of the key's last ``bits`` bits: 2**bits / 8 bytes, whatever the table."""
-    low = F.col(key).bitwiseAND((1 << bits) - 1)
-    rows = table.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("bits")).collect()
-    out = np.zeros(((1 << bits) // 32768, 4096), np.uint8)
-    for row in rows:
-        out[row.part] = np.frombuffer(row.bits, np.uint8)
-    return out.ravel()
+def bits_for(keys: DataFrame) -> int:
+    """Last bits of a key that a filter of these keys goes by."""
+    return min(MOST_BITS, max(15, (keys.count() * SPARSE).bit_length()))
 
 
-def within(filter_: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    low = keys.view(np.uint64) & np.uint64((1 << bits) - 1)
-    return (filter_[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+class Filter:
+    """A bit for each value of the key's last bits."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        self.bits = bits_for(keys)
+        low = F.col(key).bitwiseAND((1 << self.bits) - 1)
+        # 4 KB a row, 2**bits / 32768 rows at the most.
+        rows = keys.groupBy(F.shiftright(low, 15).alias("part")).agg(F.bitmap_construct_agg(low.bitwiseAND(32767)).alias("bits")).toArrow()
+        table = np.zeros(((1 << self.bits) // 32768, 4096), np.uint8)
+        table[rows["part"].to_numpy()] = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8).reshape(-1, 4096)
+        self.table = table.ravel()
+
+    def within(self, keys: np.ndarray) -> np.ndarray:
+        low = keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)
+        return (self.table[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 # The rounds
@@ -203,7 +213,7 @@ def second_ranks(docs: DataFrame, threshold: int, filter_) -> DataFrame:
                 continue
             lo, hi, j = ranked(raw, threshold)
             who = None
-            some = within(filter_.value, j, RANK_BITS)
+            some = filter_.value.within(j)
             if some.any():
                 who = identity(raw)
                 add(out, GROUP, j[some], covers(raw, lo[some], hi[some], threshold), who, lo[some], hi[some])
@@ -215,13 +225,19 @@ def second_ranks(docs: DataFrame, threshold: int, filter_) -> DataFrame:
     return common.map_arrow(docs.select("text"), run, ROWS)
 
 
-def passing(docs: DataFrame, filter_, keep: bool = True) -> DataFrame:
-    """docs with u1 and u2 of their text, of those that the filter lets through (or of the others)."""
+def known(batch: pa.RecordBatch, filter_) -> tuple[np.ndarray, np.ndarray]:
+    """u1 and u2 of each text, and whether the filter lets it through."""
+    who = np.array([identity(raw or b"") for raw in common.texts(batch)], np.int64).reshape(-1, 2)
+    return who, filter_.value.within(np.ascontiguousarray(who[:, 0]))
+
+
+def passing(docs: DataFrame, filter_) -> DataFrame:
+    """docs with u1 and u2 of their text, of those that the filter lets through."""
     schema = common.extended(docs.schema, "u1 long, u2 long")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        who = np.array([identity(raw or b"") for raw in common.texts(batch)], np.int64).reshape(-1, 2)
-        some = np.flatnonzero(within(filter_.value, np.ascontiguousarray(who[:, 0]), TEXT_BITS) == keep)
+        who, through = known(batch, filter_)
+        some = np.flatnonzero(through)
         if len(some):
             part = batch.take(pa.array(some))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(who[some, 0]), pa.array(who[some, 1])], names=[*part.schema.names, "u1", "u2"])
@@ -251,7 +267,7 @@ def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
     often = common.written(first_ranks(docs, threshold).groupBy("j").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("j"), "ranks-1")
-    second = common.written(second_ranks(docs, threshold, share(bitmap(often, "j", RANK_BITS))), "ranks-2")
+    second = common.written(second_ranks(docs, threshold, share(Filter(often, "j"))), "ranks-2")
     live = second.where(F.col("kind") == GROUP).join(often, "j").select("j", "t", "u1", "u2", "lo", "hi")
     pair = common.written(live.groupBy("j", "t").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("u1", "u2", "lo", "hi")).alias("one")), "pairs")
     whole = pair.where("n > 1").select("j", "t")
@@ -259,14 +275,14 @@ def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     doubt = pair.where("n = 1").select("j").distinct()
     todo = common.written(pair.join(doubt, "j", "left_semi").select("one.*"), "windows-todo")
     wanted = todo.groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    texts = passing(docs.select("text"), share(bitmap(todo, "u1", TEXT_BITS))).groupBy("u1", "u2").agg(F.first("text").alias("text"))
+    texts = passing(docs.select("text"), share(Filter(todo, "u1"))).groupBy("u1", "u2").agg(F.first("text").alias("text"))
     third = windows(texts.join(wanted, ["u1", "u2"]).select("text", "u1", "u2", "ranges"), threshold)
     third = common.written(third, "ranks-3").unionByName(second.where(F.col("kind") != GROUP))
     # A kind that one text holds more than once counts for two; a text's copies have the same rows.
     count = F.sum(F.when(F.col("kind") == OFTEN, 2).otherwise(1))
     twice = third.where(F.col("kind").isin(WINDOW, OFTEN)).groupBy("j", "t").agg(count.alias("n")).where("n > 1").select("j", "t")
     twice = common.written(twice, "ranks-3-twice")
-    single = common.possible(third.where(F.col("kind") == WINDOW), twice, "j", RANK_BITS).join(twice, ["j", "t"]).select("u1", "u2", "lo", "hi")
+    single = common.possible(third.where(F.col("kind") == WINDOW), twice, "j", bits_for(twice)).join(twice, ["j", "t"]).select("u1", "u2", "lo", "hi")
     inside = third.where(F.col("kind") == REPEATS).select("u1", "u2", "lo", "hi")
     return sure.unionByName(single).unionByName(inside).groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
@@ -304,47 +320,51 @@ def whole_characters(raw: bytes, removed: list[tuple[int, int]]) -> list[tuple[i
 
 
 def applied(docs: DataFrame, found: DataFrame, fn, schema, threshold: int) -> DataFrame:
-    """fn(batch, runs of each row) over all docs; only texts with spans are shuffled to meet them."""
+    """fn(batch, runs of each row) over all docs (doc, text); only texts with spans are shuffled to meet them."""
     found = common.written(found, "spans")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(found, "u1", TEXT_BITS))
-    clean = passing(docs, shared, keep=False)
-    plain = common.map_arrow(clean.select(*docs.columns), lambda batch: fn(batch, [[]] * batch.num_rows), schema)
-    met = passing(docs, shared).join(found, ["u1", "u2"], "left").select(*docs.columns, "ranges")
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(found, "u1"))
+
+    def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rest = np.flatnonzero(~known(batch, shared)[1])
+        if len(rest):
+            yield from fn(batch.take(pa.array(rest)), [[]] * len(rest))
+
+    plain = common.map_arrow(docs, whole, schema)
+    met = passing(docs, shared).join(found, ["u1", "u2"], "left").select("doc", "text", "ranges")
     cut = common.map_arrow(met, lambda batch: fn(batch, [runs(r, threshold) for r in batch.column("ranges").to_pylist()]), schema)
     return plain.unionByName(cut)
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs without the repeated strings, cut at whole characters; other columns stay."""
-    clash = {"u1", "u2", "ranges"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"the input has columns that this operator adds: {sorted(clash)}")
-    names, schema = docs.columns, docs.schema
+    """docs without the repeated strings, cut at whole characters; other columns stay, whatever their names."""
+    others = [c for c in docs.columns if c.lower() != "text"]
+    whole = docs.select(F.struct(F.lit(True), *[F.col(f"`{c}`") for c in others]).alias("doc"), "text")
 
     def run(batch: pa.RecordBatch, removed: list) -> Iterator[pa.RecordBatch]:
         texts = [raw if raw is None or not r else kept(raw, whole_characters(raw, r)) for raw, r in zip(common.texts(batch), removed, strict=True)]
-        at = batch.schema.names.index("text")
-        columns = [batch.column(c) for c in names]
-        columns[names.index("text")] = pa.array(texts, pa.binary()).cast(batch.schema.field(at).type)
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        text = pa.array(texts, pa.binary()).cast(batch.schema.field("text").type)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), text], names=["doc", "text"])
 
-    return applied(docs, spans(docs, threshold), run, schema, threshold)
+    cut = applied(whole, spans(docs, threshold), run, whole.schema, threshold)
+    return cut.select(*[F.col("text") if c.lower() == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Per document: bytes, bytes removed, maximal runs removed, digest of what is kept."""
+    """Per document: bytes, bytes removed, maximal runs removed, digest of what is kept, and the text kept,
+    where runs are drawn in to whole characters."""
 
     def run(batch: pa.RecordBatch, removed: list) -> Iterator[pa.RecordBatch]:
         rows = []
         for raw, r in zip(common.texts(batch), removed, strict=True):
             raw = raw or b""
-            rows.append((len(raw), sum(b - a for a, b in r), len(r), hashlib.sha256(kept(raw, r)).hexdigest()))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            rows.append((len(raw), sum(b - a for a, b in r), len(r), hashlib.sha256(kept(raw, r)).hexdigest(), kept(raw, whole_characters(raw, r))))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        columns[-1] = columns[-1].cast(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    rows = docs.select("doc_id", "text")
-    return applied(rows, spans(docs, threshold), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", threshold)
+    schema = common.with_id(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return applied(docs.select(F.col("doc_id").alias("doc"), "text"), spans(docs, threshold), run, schema, threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
