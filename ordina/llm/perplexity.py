@@ -1,6 +1,8 @@
 """Quality rules: n-gram perplexity within language-specific bands, besides base rules.
 
-Model. Spark counts character 4-grams of all texts, per language. From the distinct 4-grams follow
+Model. Spark counts character 4-grams of all clean texts, per language; a text is clean if it has at
+most CLEAN symbols for each word, whatever else it is. A model of all texts would learn junk as well and find it
+likely. From the distinct 4-grams follow
 the continuation counts of the lower orders, and from counts of counts the three discounts of
 modified Kneser-Ney smoothing, per language and order. Characters are lower-cased, digits count as
 0, white space as one blank, and a text has a blank before and after. A 4-gram is one long of four
@@ -20,6 +22,7 @@ Defined results
   empty text     likewise
   very long text read whole, in blocks
   null lang      a language of its own
+  no clean text  a language without any gives every n-gram the same probability, so its texts pass
   repeated rows  each counted and each judged
   ties at a band kept
   empty table    no rows
@@ -46,6 +49,8 @@ BAND = 5.0
 MIN_SPREAD = 0.015
 STEP = 0.001
 SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: Symbols for each word of a text that the model learns from, at the most.
+CLEAN = 0.1
 
 
 # Characters and n-grams
@@ -79,8 +84,14 @@ def grams(raw: bytes | None) -> Iterator[np.ndarray]:
             yield codes[:-3] << np.uint64(48) | codes[1:-2] << np.uint64(32) | codes[2:-1] << np.uint64(16) | codes[3:]
 
 
+def clean(raw: bytes | None) -> bool:
+    """Whether the model learns from a text: it would else find strings of symbols as likely as words."""
+    raw = raw or b""
+    return sum(map(raw.count, b"#*$%&|<>")) <= CLEAN * len(raw.split())
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """docs -> (lang, gram, n) over all texts; each task sums what it has read before the shuffle."""
+    """docs -> (lang, gram, n) over all clean texts; each task sums what it has read before the shuffle."""
 
     def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([p[0] for p in parts])
@@ -100,7 +111,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for raw, lang in zip(common.texts(batch), map(lang_key, batch.column("lang").to_pylist()), strict=True):
-                for block in grams(raw):
+                for block in grams(raw) if clean(raw) else ():
                     blocks, size = raw_held.get(lang, ([], 0))
                     blocks.append(block)
                     raw_held[lang] = (blocks, size + len(block))
@@ -261,7 +272,7 @@ def measures(raw: bytes | None) -> tuple[int, int, int, int, int]:
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs -> (doc_id, lang, measures, base_failed, log_ppl)."""
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
+    schema = common.with_id(docs, "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
