@@ -6,9 +6,11 @@ the one with the smallest page_id is a response, the others are revisits that re
 no payload. Smaller payloads than ``least`` are always responses.
 
 Index. The task's captures, already in order, go to blocks of BLOCK lines, each compressed by itself
-(first level). One row a block, with its first and last key and its place, is the sparse directory
-(second level), a Parquet table in order of keys. A look-up searches the directory by bisection, then
-the block, and reads only that block's and that record's range of bytes.
+(first level). One row a block, with its first and last capture and its place, is the sparse directory
+(second level), a Parquet table in order of keys. Look-ups are sorted and dealt to tasks by ranges of
+keys. A task reads the part of the directory between its batch's ends, searches it by bisection, then
+each block that is hit, and reads only that block's and the records' ranges of bytes. ``query`` looks
+up every page so, by key and page_id.
 
 A task writes under a name of its own, and only directory rows of tasks that ended well are used, so
 that lost or repeated tasks leave nothing that is read.
@@ -31,9 +33,11 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as pads
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +49,9 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Repeated digests are sent to all executors up to this number (about 100 bytes each), else joined by a shuffle.
 BROADCAST_DIGESTS = 200_000
-DIRECTORY = "first_key binary, last_key binary, cdx string, warc string, offset long, length long, captures int"
+DIRECTORY = "first_key binary, first_page long, last_key binary, last_page long, cdx string, warc string, offset long, length long, captures int"
+#: A capture's place in the order of an index: its key, and its page_id with null first.
+Place = tuple[bytes, bool, int]
 
 
 def key_of(url: Column) -> Column:
@@ -76,6 +82,10 @@ def number_of(name: str) -> int | None:
     return int(text) if text else None
 
 
+def place_of(key: bytes, page_id: int | None) -> Place:
+    return key, page_id is not None, page_id or 0
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
@@ -148,8 +158,8 @@ def typed(pages: DataFrame, least: int = 0) -> DataFrame:
     return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first")
 
 
-def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
-    """Writes archives and index to the shared folder -> their folder, and the directory."""
+def write(pages: DataFrame, least: int = 0) -> str:
+    """Writes archives and index to the shared folder -> the directory's folder."""
     spark = pages.sparkSession
     folder = common.scratch_path(spark, "warc")
 
@@ -160,16 +170,16 @@ def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
         warc = cdx = None
         at = cdx_at = 0
         lines: list[bytes] = []
+        ends: list[tuple[bytes, int | None]] = []
         rows: list[tuple] = []
 
         def flush():
-            nonlocal cdx_at, lines
+            nonlocal cdx_at, lines, ends
             packed = zlib.compress(b"\n".join(lines), 6)
             cdx.write(packed)
-            first, last = (bytes.fromhex(lines[i].split(b" ", 1)[0].decode()) for i in (0, -1))
-            rows.append((first, last, f"{folder}/{name}.cdx", f"{folder}/{name}.warc.gz", cdx_at, len(packed), len(lines)))
+            rows.append((*ends[0], *ends[-1], f"{folder}/{name}.cdx", f"{folder}/{name}.warc.gz", cdx_at, len(packed), len(lines)))
             cdx_at += len(packed)
-            lines = []
+            lines, ends = [], []
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "key", "sha1", "refers_to", "revisit")]
@@ -179,6 +189,7 @@ def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
                 member = gzip_member(record(page_id, url, html, bytes.fromhex(sha1), refers_to, revisit))
                 warc.write(member)
                 lines.append(f"{key.encode().hex()} {'' if page_id is None else page_id} {at} {len(member)}".encode())
+                ends.append((key.encode(), page_id))
                 at += len(member)
                 if len(lines) >= BLOCK:
                     flush()
@@ -187,84 +198,134 @@ def write(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
                 flush()
             warc.close()
             cdx.close()
-            kinds = [pa.binary(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
-            names = ["first_key", "last_key", "cdx", "warc", "offset", "length", "captures"]
+            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()]
+            names = ["first_key", "first_page", "last_key", "last_page", "cdx", "warc", "offset", "length", "captures"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     common.ship(spark)
     common.small_batches(spark)
     ordered = typed(pages, least).repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return folder, common.written(ordered.mapInArrow(run, DIRECTORY), "warc-directory")
+    directory = common.scratch_path(spark, "warc-directory")
+    ordered.mapInArrow(run, DIRECTORY).write.parquet(directory)
+    return directory
 
 
 # Reading
 
 
-def block_lines(row: dict) -> list[tuple[bytes, int | None, int, int]]:
-    """A directory row -> its captures (key, page_id, offset, length), by a range read."""
+def block_lines(row: dict) -> list[tuple[Place, int | None, int, int]]:
+    """A directory row -> its captures (place, page_id, offset, length), by a range read."""
     store, path = file_of(row["cdx"])
     with store.open_input_file(path) as file:
         packed = file.read_at(row["length"], row["offset"])
     out = []
     for line in zlib.decompress(packed).split(b"\n"):
         key, page, offset, length = line.split(b" ")
-        out.append((bytes.fromhex(key.decode()), int(page) if page else None, int(offset), int(length)))
+        page_id = int(page) if page else None
+        out.append((place_of(bytes.fromhex(key.decode()), page_id), page_id, int(offset), int(length)))
     return out
 
 
-def captures(directory: DataFrame) -> DataFrame:
-    """Every capture of the index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+class Directory:
+    """The sparse directory, read by ranges of keys."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row in batch.to_pylist():
-            store, path = file_of(row["warc"])
-            rows = []
-            with store.open_input_file(path) as file:
-                for _, page_id, offset, length in block_lines(row):
-                    found = parse_record(file.read_at(length, offset))
-                    fields = found["fields"]
-                    if number_of(fields["WARC-Record-ID"]) != page_id:
-                        raise ValueError("index and archive disagree")
-                    refers = number_of(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None
-                    rows.append((page_id, found["size"], found["digest"], fields["WARC-Type"], refers))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    # Blocks, not archives, are dealt out: a task reads a few blocks' ranges.
-    # The number is given because a plan that merges small partitions would read all of them in one task.
-    parts = int(directory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return common.map_arrow(directory.repartition(parts, "cdx", "offset"), run, schema)
-
-
-def find(spark: SparkSession, directory: DataFrame, urls: list[str]) -> DataFrame:
-    """Captures of some URLs -> (url, page_id, record_type, payload); the payload of a revisit is null."""
-    named = spark.createDataFrame([(u,) for u in urls], "url string").select("url", key_of(F.col("url")).alias("key")).collect()
-    wanted = sorted((r.key.encode(), r.url) for r in named)
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows, blocks = [], sorted(batch.to_pylist(), key=lambda r: (r["first_key"], r["last_key"]))
-        firsts = [r["first_key"] for r in blocks]
-        for key, url in wanted:
-            for row in reversed(blocks[: bisect.bisect_right(firsts, key)]):
-                if row["last_key"] < key:
-                    if row["cdx"] == blocks[0]["cdx"] == blocks[-1]["cdx"]:
-                        break  # one archive's blocks are in order: no earlier one holds the key
-                    continue
-                lines = block_lines(row)
-                keys = [x[0] for x in lines]
-                store, path = file_of(row["warc"])
+    def __init__(self, folder: str):
+        store, root = file_of(folder)
+        self.table = pads.dataset(root, filesystem=store, format="parquet")
+
+    def between(self, low: bytes, high: bytes) -> list[dict]:
+        """Blocks that may hold keys from low to high, in order; Parquet statistics spare the rest."""
+        held = (pc.field("first_key") <= pa.scalar(high, pa.binary())) & (pc.field("last_key") >= pa.scalar(low, pa.binary()))
+        return sorted(self.table.to_table(filter=held).to_pylist(), key=lambda r: (place_of(r["first_key"], r["first_page"]), place_of(r["last_key"], r["last_page"]), r["offset"]))
+
+
+def search(blocks: list[dict], wanted: list[tuple[Place, Place]]) -> Iterator[tuple[int, int | None, dict]]:
+    """(number of the look-up, page_id, record) of all captures from one place to another, for sorted look-ups.
+
+    Blocks are in order and do not overlap but at equal captures, so both their first and their last
+    places are sorted; a block is read for the first look-up that hits it and kept for the next.
+    """
+    firsts = [place_of(r["first_key"], r["first_page"]) for r in blocks]
+    lasts = [place_of(r["last_key"], r["last_page"]) for r in blocks]
+    held: dict[int, tuple] = {}
+    for number, (low, high) in enumerate(wanted):
+        hit = range(bisect.bisect_left(lasts, low), bisect.bisect_right(firsts, high))
+        held = {i: x for i, x in held.items() if i in hit}
+        for i in hit:
+            if i not in held:
+                lines = block_lines(blocks[i])
+                held[i] = lines, [x[0] for x in lines], file_of(blocks[i]["warc"])
+            lines, places, (store, path) = held[i]
+            inside = lines[bisect.bisect_left(places, low) : bisect.bisect_right(places, high)]
+            if inside:
                 with store.open_input_file(path) as file:
-                    for _, page_id, offset, length in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                        found = parse_record(file.read_at(length, offset))
-                        rows.append((url, page_id, found["fields"]["WARC-Type"], found["payload"]))
-        if rows:
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["url", "page_id", "record_type", "payload"])
+                    for _, page_id, offset, length in inside:
+                        yield number, page_id, parse_record(file.read_at(length, offset))
+
+
+def looked_up(folder: str, sought: DataFrame, order: list[str], bounds: Callable, row: Callable, fields: list[tuple[str, pa.DataType]], schema) -> DataFrame:
+    """sought, dealt by ranges of the order and sorted -> row(sought row, page_id, record) for each capture
+    between the bounds of a sought row. Rows of sought that are equal in the order count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directory, last = Directory(folder), None
+        for batch in batches:
+            rows = []
+            for item in batch.to_pylist():
+                mark = [item[c] for c in order]
+                if mark != last:
+                    rows.append(item)
+                last = mark
+            if not rows:
+                continue
+            wanted = [bounds(item) for item in rows]
+            blocks = directory.between(wanted[0][0][0], wanted[-1][1][0])
+            found = [row(rows[number], page_id, record_) for number, page_id, record_ in search(blocks, wanted)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*found, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    spark = sought.sparkSession
+    common.ship(spark)
+    common.small_batches(spark)
+    # The number is given because a plan that merges small partitions would read all archives in one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sought.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def captures(folder: str, pages: DataFrame) -> DataFrame:
+    """The captures of pages (page_id, url), each looked up by key and page_id: page_id, payload_bytes,
+    payload_digest, record_type, refers_to. Pages that are equal in both have a capture each."""
+    sought = pages.select(key_of(F.col("url")).cast("binary").alias("key"), "page_id")
+
+    def bounds(item: dict) -> tuple[Place, Place]:
+        place = place_of(item["key"], item["page_id"])
+        return place, place
+
+    def row(item: dict, page_id: int | None, found: dict) -> tuple:
+        headers = found["fields"]
+        if number_of(headers["WARC-Record-ID"]) != page_id:
+            raise ValueError("index and archive disagree")
+        refers = number_of(headers["WARC-Refers-To"]) if "WARC-Refers-To" in headers else None
+        return page_id, found["size"], found["digest"], headers["WARC-Type"], refers
+
+    fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    return looked_up(folder, sought, ["key", "page_id"], bounds, row, fields, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+def find(folder: str, urls: DataFrame) -> DataFrame:
+    """All captures of some URLs (url) -> (url, page_id, record_type, payload); the payload of a revisit is null."""
+    sought = urls.select(key_of(F.col("url")).cast("binary").alias("key"), "url")
+
+    def bounds(item: dict) -> tuple[Place, Place]:
+        return (item["key"], False, 0), (item["key"], True, 1 << 63)
+
+    def row(item: dict, page_id: int | None, found: dict) -> tuple:
+        return item["url"], page_id, found["fields"]["WARC-Type"], found["payload"]
 
-    return common.map_arrow(directory, run, "url string, page_id long, record_type string, payload binary")
+    fields = [("url", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary())]
+    return looked_up(folder, sought, ["key", "url"], bounds, row, fields, "url string, page_id long, record_type string, payload binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    _, directory = write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return captures(directory)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return captures(write(pages), pages)
