@@ -12,8 +12,7 @@ Defined results
   repeated rows   equal (doc_id, text) get equal decisions
   null doc_id     takes part as the empty id
   empty table     no rows
-  extra columns   kept; names that this operator adds (``_size`` ...) start with an underscore, and
-                  an input column of such a name is refused
+  extra columns   kept, whatever their names
 """
 
 from __future__ import annotations
@@ -26,7 +25,6 @@ from . import common
 #: A source table of up to this many rows (about 100 bytes each) is sent to all executors; a larger
 #: one is joined by a shuffle whose skew Spark splits.
 BROADCAST_SOURCES = 20_000
-ADDED = ("_size", "_source_size", "_target", "_rate", "_copies")
 
 
 def word_count(text: Column) -> Column:
@@ -72,43 +70,35 @@ def uniform(seed: int, *columns: Column) -> Column:
 
 
 def planned(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
-    """docs with _size, _source_size, _target, _rate and _copies (how often the mix takes the row)."""
-    clash = set(ADDED) & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"the input has columns that this operator adds: {sorted(clash)}")
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    """docs -> doc (the row of docs), size, source_size, target, rate and copies (how often the mix takes it)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    sized = rows.withColumn("size", word_count(F.col("doc.text")))
     # Partial sums before the shuffle: a source of any size sends one row per task.
-    sizes = sized.groupBy("source").agg(F.sum("_size").alias("source_size"))
-    targets = common.written(source_targets(sizes, weights, most), "source-targets").select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
+    sizes = sized.groupBy(F.col("doc.source").alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = common.written(source_targets(sizes, weights, most), "source-targets")
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(most)))).otherwise(0.0)
-    whole = F.floor("_rate")
-    once_more = uniform(seed, F.col("doc_id"), F.col("text")) < F.col("_rate") - whole
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    whole = F.floor("rate")
+    once_more = uniform(seed, F.col("doc.doc_id"), F.col("doc.text")) < F.col("rate") - whole
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .drop("_source")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (whole + once_more.cast("long")).cast("int"))
+        sized.join(targets, F.col("doc.source").eqNullSafe(F.col("source")), "left")
+        .drop("source")
+        .withColumn("rate", rate)
+        .withColumn("copies", (whole + once_more.cast("long")).cast("int"))
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with the columns of docs."""
-    copies = F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies"))))
-    return planned(docs, weights, most, seed).withColumn("_copy", copies).select(*docs.columns)
+    copies = F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))))
+    return planned(docs, weights, most, seed).select("doc", copies.alias("copy")).select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return planned(docs).select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.col("_copies")).alias("taken"),
+        "doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
