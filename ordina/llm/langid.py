@@ -8,9 +8,8 @@ the largest share of what remains, and that share is its score.
 
 Letters are lower-cased, and everything else counts as one blank between words.
 
-Size of the model. A table of log-likelihoods for languages x BUCKETS; with more than
-2**24 / BUCKETS languages the number of buckets is halved until it fits, so that what is sent to
-executors never exceeds 64 MB.
+Size of the model. A table of likelihoods for languages x BUCKETS, 256 KB a language, however many
+documents there are. The language codes of a corpus are a closed list (ISO 639-1 has 183: 46 MB).
 
 Defined results
   null text, no letter   lang_pred 'und', score 0, no shares
@@ -36,7 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 16
-CELLS = 1 << 24
+#: Languages whose counts a task holds at once (512 KB each).
+HELD = 64
 SMOOTH = 0.5
 ROUNDS = 12
 BLANK = 32
@@ -71,18 +71,25 @@ def count(train: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def summed():
+            for lang, counts in sums.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
+            sums.clear()
+
         for batch in batches:
             for raw, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
                 ids = trigrams(raw, buckets)
                 if lang not in sums:
+                    if len(sums) == HELD:
+                        yield from summed()
                     sums[lang] = np.zeros(buckets, np.int64)
                 if len(ids) > buckets // 8:
                     sums[lang] += np.bincount(ids, minlength=buckets)
                 else:
                     np.add.at(sums[lang], ids, 1)
-        for lang, counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
+        yield from summed()
 
     common.ship(train.sparkSession)
     common.small_batches(train.sparkSession)
@@ -105,8 +112,6 @@ def fit(train: DataFrame) -> Model:
     """train: (text, lang), all rows with a language count."""
     langs = sorted(r.lang for r in train.select("lang").distinct().collect())
     buckets = BUCKETS
-    while buckets * len(langs) > CELLS and buckets > 256:
-        buckets //= 2
     table = count(train, buckets).toArrow()  # at most languages x buckets rows
     place = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((buckets, len(langs)))
@@ -171,7 +176,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         kind = pa.map_(pa.string(), pa.float64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, kind)], names=["doc_id", "lang_pred", "score", "shares"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return common.map_arrow(docs.select("doc_id", "text"), run, common.with_id(docs, "lang_pred string, score double, shares map<string,double>"))
 
 
 def accepted(docs: DataFrame, model: Model, least: float) -> DataFrame:
