@@ -4,7 +4,7 @@ Reader. The RIFF tree gives the stream header and the index (idx1, or else an Op
 else a walk over the movi list). A frame is a baseline JPEG: its segments are parsed, the scan is
 Huffman-decoded, and the luma plane is rebuilt by an inverse DCT. Shots are cut where the difference
 of two frames' 16-bin luma histograms exceeds an adaptive threshold, the mean plus CUT_SPREADS
-standard deviations of the differences in the window before it (and MIN_CUT at least); each shot is
+standard deviations of the differences in the window before it (and MIN_CUT at least, which alone decides at the first); each shot is
 a clip row with its times.
 
 Storing a payload. One byte is one 8x8 block of constant luma, the format's own unit: with a DC
@@ -347,7 +347,7 @@ def shots(histograms: np.ndarray) -> list[tuple[int, int]]:
     size = np.maximum(1, at - low)
     mean = (sums[at] - sums[low]) / size
     spread = np.sqrt(np.maximum(0, (squares[at] - squares[low]) / size - mean * mean))
-    cuts = np.flatnonzero((diff > np.maximum(MIN_CUT, mean + CUT_SPREADS * spread)) & (at > 0)) + 1
+    cuts = np.flatnonzero(diff > np.maximum(MIN_CUT, mean + CUT_SPREADS * spread)) + 1
     edges = [0, *cuts.tolist(), n]
     return list(zip(edges, edges[1:], strict=False))
 
@@ -378,11 +378,11 @@ def clips(media: DataFrame) -> DataFrame:
             if data is not None:
                 _, found, of = analysed(data)
                 rows += [(key, i, a, b, a * of.seconds_per_frame, b * of.seconds_per_frame) for i, (a, b) in enumerate(found)]
-        names, kinds = ["doc_id", "clip", "start_frame", "end_frame", "start_s", "end_s"], [pa.int64()] * 4 + [pa.float64()] * 2
+        names, kinds = ["doc_id", "clip", "start_frame", "end_frame", "start_s", "end_s"], [batch.column("doc_id").type] + [pa.int64()] * 3 + [pa.float64()] * 2
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return common.map_arrow(media.select("doc_id", "avi"), run, "doc_id long, clip long, start_frame long, end_frame long, start_s double, end_s double")
+    return common.map_arrow(media.select("doc_id", "avi"), run, common.with_id(media, "clip long, start_frame long, end_frame long, start_s double, end_s double"))
 
 
 def payload_of(raw: bytes | None) -> bytes:
@@ -398,7 +398,7 @@ def stored(docs: DataFrame) -> DataFrame:
             part = batch.slice(at, 256)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([write_avi(payload_of(x)) for x in common.texts(part)], pa.binary())], names=["doc_id", "avi"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, avi binary")
+    return common.map_arrow(docs.select("doc_id", "text"), run, common.with_id(docs, "avi binary"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -415,7 +415,7 @@ def digests(docs: DataFrame) -> DataFrame:
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = common.with_id(docs, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return common.map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
