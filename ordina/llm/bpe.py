@@ -102,9 +102,10 @@ def digest(batch: pa.RecordBatch, path: str | None = None) -> Iterator[pa.Record
 
 
 def encoded(docs: DataFrame, path: str | None = None, column: str = "token_ids") -> DataFrame:
-    """docs with the ids of their text as an array<int> in a new column."""
-    if column.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the input has a column {column}")
+    """docs with the ids of their text as an array<int> in a new last column, whose name gets underscores
+    as long as the input has one of that name."""
+    while column.lower() in {c.lower() for c in docs.columns}:
+        column += "_"
     schema = common.extended(docs.schema, f"{column} array<int>")
 
     def run(batch):
@@ -117,7 +118,7 @@ def encoded(docs: DataFrame, path: str | None = None, column: str = "token_ids")
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the decoded bytes."""
     return common.map_arrow(
-        docs.select("doc_id", "text"), lambda batch: digest(batch, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        docs.select("doc_id", "text"), lambda batch: digest(batch, path), common.with_id(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     )
 
 

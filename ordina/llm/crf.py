@@ -7,7 +7,8 @@ by the lines' lengths.
 
 Learning starts from the text's label for all of its lines. Lines of bad texts are then relabelled
 by the marginals of the model itself (the worst line of a bad text stays bad), and learning goes on.
-The sample that is learned from holds at most SAMPLE labelled texts, chosen by a hash of their ids.
+The sample that is learned from holds at most SAMPLE labelled texts, chosen by a hash of their ids, and
+of these, in that order, as many as come to SAMPLE_BYTES of features at the most.
 
 Defined results
   null or empty text    one empty line
@@ -26,12 +27,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 SAMPLE = 4000
+#: Bytes of the sample's features (FEATURES floats a line), all rows of a text counted.
+SAMPLE_BYTES = 256 << 20
 BAR = 0.7
 #: Bytes of text worked on at once.
 CHUNK = 1 << 20
@@ -229,10 +232,14 @@ def quality(raws: list[bytes | None], model: Model | None) -> np.ndarray:
     return np.clip(np.bincount(of, good * weight) / np.bincount(of, weight), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model | None:
     """docs (doc_id, text) and labels (doc_id, quality): whatever labels may be learned from."""
     by_text = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     chosen = by_text.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    sizes = docs.select("doc_id", F.coalesce(n_lines, F.lit(1)).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "q").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the sample's rows
+    chosen = sizes.withColumn("upto", upto).where(F.col("upto") * 4 * FEATURES <= most).select("doc_id", "q")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         raws, marks = common.texts(batch), batch.column("q").to_pylist()
@@ -242,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
             parts = [(found.features[e - c : e].tobytes(), found.sizes[e - c : e].astype(np.int64).tobytes(), int(m > 0.5)) for c, e, m in zip(found.counts, ends, marks[a:b], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts, strict=True), (pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["features", "sizes", "label"])
 
-    # The sample is at most SAMPLE ids with a number each: its size is bounded.
+    # The sample is at most SAMPLE ids with a number each, and their features at most SAMPLE_BYTES.
     rows = common.map_arrow(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), run, "features binary, sizes binary, label int").collect()
     if not rows:
         return None
@@ -260,7 +267,7 @@ def scored(docs: DataFrame, model: Model | None, bar: float = BAR) -> DataFrame:
         score = np.concatenate([quality(raws[a:b], model) for a, b in chunks(raws)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array((score >= bar).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
+    return common.map_arrow(docs.select("doc_id", "text"), run, common.with_id(docs, "score double, predicted int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
