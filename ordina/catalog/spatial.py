@@ -97,11 +97,36 @@ add("K3_nearest", lambda s, d: knn(K.nearest(particles(s, d), particles(s, d), 1
 add("K4_all_knn", lambda s, d: knn(K.nearest(particles(s, d), particles(s, d), 5)), KNN.format(DIST, 5))
 add("K5_knn_3d", lambda s, d: knn(K.nearest(particles(s, d), particles(s, d), 3, 3)), KNN.format(f"{DIST} + (q.z - p.z) * (q.z - p.z)", 3))
 add("K6_hull", lambda s, d: K.hull(points(s, d)))
-add("K7_barnes_hut", lambda s, d: K.barnes_hut(particles(s, d)).select("id", *[F.round(f"f{a}", 6).alias(f"f{a}") for a in "xyz"]))
+#: The same tree by cells of each level: depth 10, leaves of 16, alpha 1.
+_AXES = (("x", "ix"), ("y", "iy"), ("z", "iz"))
+_WIDE = "(SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM em) b"
+_R2 = "(nd.cx - w.x) * (nd.cx - w.x) + (nd.cy - w.y) * (nd.cy - w.y) + (nd.cz - w.z) * (nd.cz - w.z)"
+_FAR = f"{_R2} > w.side * w.side / pow(4, w.l)"
+TREE_FORCES = f"""WITH RECURSIVE {EM},
+c AS (SELECT em.*, side, {", ".join(f"least(floor(({a} - l{a}) / side * 1024)::BIGINT, 1023) AS {i}" for a, i in _AXES)} FROM em, {_WIDE}),
+nd AS (SELECT l, ix >> (10 - l) AS i, iy >> (10 - l) AS j, iz >> (10 - l) AS k, count(*) AS n, sum(mass) AS m, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz
+       FROM c, (SELECT range AS l FROM range(11)) GROUP BY 1, 2, 3, 4),
+w AS (
+  SELECT id, x, y, z, mass, side, 0::BIGINT AS l, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS k FROM c
+  UNION ALL
+  SELECT w.id, w.x, w.y, w.z, w.mass, w.side, ch.l, ch.i, ch.j, ch.k FROM w JOIN nd USING (l, i, j, k) JOIN nd ch ON ch.l = nd.l + 1 AND ch.i >> 1 = nd.i AND ch.j >> 1 = nd.j AND ch.k >> 1 = nd.k
+  WHERE NOT ({_FAR}) AND nd.n > 16 AND nd.l < 10
+),
+met AS (SELECT w.*, nd.n, nd.m, nd.cx - w.x AS dx, nd.cy - w.y AS dy, nd.cz - w.z AS dz, {_R2} AS r2, {_FAR} AS far FROM w JOIN nd USING (l, i, j, k)),
+one AS (SELECT met.id, met.mass, o.mass AS m, o.x - met.x AS dx, o.y - met.y AS dy, o.z - met.z AS dz FROM met JOIN c o ON o.ix >> (10 - l) = i AND o.iy >> (10 - l) = j AND o.iz >> (10 - l) = k AND o.id <> met.id WHERE NOT far AND (n <= 16 OR l = 10)),
+pull AS (
+  SELECT id, dx, dy, dz, mass * m / (r2 * sqrt(r2)) AS f, 0 AS direct, 1 AS far FROM met WHERE far
+  UNION ALL
+  SELECT id, dx, dy, dz, mass * m / (r2 * sqrt(r2)), 1, 0 FROM (SELECT *, dx * dx + dy * dy + dz * dz AS r2 FROM one) WHERE r2 > 0
+),
+bh AS (SELECT id, sum(dx * f) AS fx, sum(dy * f) AS fy, sum(dz * f) AS fz, sum(direct)::BIGINT AS direct, sum(far)::BIGINT AS far FROM pull GROUP BY 1)
+"""
+_EXACT = "(SELECT p.id, sum((q.x - p.x) * p.mass * q.mass / (r2 * sqrt(r2))) AS ex, sum((q.y - p.y) * p.mass * q.mass / (r2 * sqrt(r2))) AS ey, sum((q.z - p.z) * p.mass * q.mass / (r2 * sqrt(r2))) AS ez FROM em p, em q, LATERAL (SELECT (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS r2) WHERE r2 > 0 GROUP BY 1)"
+add("K7_barnes_hut", lambda s, d: K.barnes_hut(particles(s, d)).select("id", *[F.round(f"f{a}", 6).alias(f"f{a}") for a in "xyz"]), f"{TREE_FORCES} SELECT id, round(fx, 6) AS fx, round(fy, 6) AS fy, round(fz, 6) AS fz FROM bh")
 FORCE = f"WITH {EM}, pr AS (SELECT p.id, p.mass * q.mass AS mm, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz FROM em p, em q WHERE p.id <> q.id), r AS (SELECT *, dx * dx + dy * dy + dz * dz AS r2 FROM pr) SELECT id, round(sum(dx * mm / (r2 * sqrt(r2))), 3) AS fx, round(sum(dy * mm / (r2 * sqrt(r2))), 3) AS fy FROM r WHERE r2 > 0 GROUP BY id"
 add("K7_exact_forces", lambda s, d: K.exact_forces(particles(s, d)).select("id", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy")), FORCE)
-add("K8_force_error", lambda s, d: K.force_error(K.barnes_hut(particles(s, d)), K.exact_forces(particles(s, d))).select((F.col("error") < 0.1).alias("ok")), "SELECT true AS ok")
-add("K9_interactions", lambda s, d: K.barnes_hut(particles(s, d)).agg(F.sum("direct").alias("direct"), F.sum("far").alias("far")))
+add("K8_force_error", lambda s, d: K.force_error(K.barnes_hut(particles(s, d)), K.exact_forces(particles(s, d))).select((F.col("error") < 0.1).alias("ok"), F.round("error", 9).alias("error")), f"{TREE_FORCES} SELECT error < 0.1 AS ok, round(error, 9) AS error FROM (SELECT avg(sqrt(((fx - ex) * (fx - ex) + (fy - ey) * (fy - ey) + (fz - ez) * (fz - ez)) / (ex * ex + ey * ey + ez * ez))) AS error FROM bh JOIN {_EXACT} USING (id))")
+add("K9_interactions", lambda s, d: K.barnes_hut(particles(s, d)).agg(F.sum("direct").alias("direct"), F.sum("far").alias("far")), f"{TREE_FORCES} SELECT sum(direct)::BIGINT AS direct, sum(far)::BIGINT AS far FROM bh")
 add("K10_cell_moments", lambda s, d: K.cell_moments(particles(s, d)).select("code", "n", F.round(F.col("re")[0], 6).alias("mass")), f"WITH {EM}, cd AS (SELECT mass, " + ", ".join(f"least(floor(({a} - m{a}) / side * 4)::BIGINT, 3) AS c{a}" for a in "xyz") + " FROM em, (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM em) b) SELECT (" + " + ".join(f"((c{a} >> {i}) & 1) * {8**i * (1 << bit)}" for i in range(2) for bit, a in enumerate("xyz")) + ")::BIGINT AS code, count(*) AS n, round(sum(mass), 6) AS mass FROM cd GROUP BY 1")
 
 # Event logs: users as processors, views and clicks as waits, purchases and sign-ups as the computation
@@ -148,7 +173,7 @@ MEASURES = "ms AS (SELECT event_type AS estimator, user_id AS proc, event_id AS
 measures = lambda s, d: table(s, d, "events").select(F.col("event_type").alias("estimator"), F.col("user_id").alias("proc"), F.col("event_id").alias("seq"), F.col("value").alias("m"))
 CLOSED = "sum(m * CASE WHEN i = 1 THEN pow(8.0 / 9, n - 1) ELSE pow(8.0 / 9, n - i) / 9 END)"
 add("T9_private_constants", lambda s, d: T.private_constants(measures(s, d)).withColumn("cst", F.round("cst", 6)), f"WITH {MEASURES} SELECT estimator, proc, round({CLOSED}, 6) AS cst FROM od GROUP BY 1, 2")
-add("T9_shared_constants", lambda s, d: T.shared_constants(measures(s, d).select("estimator", "seq", F.col("m").alias("c"))))
+add("T9_shared_constants", lambda s, d: T.shared_constants(measures(s, d).select("estimator", "seq", F.col("m").alias("c"))), "WITH RECURSIVE r AS (SELECT event_type AS estimator, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, value::DOUBLE AS m FROM events), f AS (SELECT estimator, i, m AS s FROM r WHERE i = 1 UNION ALL SELECT r.estimator, r.i, CASE WHEN r.m < f.s / 2 THEN f.s / 2 ELSE f.s END FROM f JOIN r ON r.estimator = f.estimator AND r.i = f.i + 1) SELECT estimator, arg_max(s, i) AS shared FROM f GROUP BY 1")
 add("T10_predict", lambda s, d: measures(s, d).select("seq", T.predicted(F.when(F.col("m") > 10, F.col("m")), F.when(F.col("seq") % 10 > 0, F.col("seq"))).alias("cost"), T.predicted_iterations(F.col("m") + 1, 665.0).alias("n")), "SELECT event_id AS seq, CASE WHEN event_id % 10 = 0 THEN -3.0::DOUBLE ELSE coalesce(CASE WHEN value > 10 THEN value END, 1.0) * event_id END AS cost, greatest(floor(665.0::DOUBLE / (value + 1)), 1)::BIGINT AS n FROM events")
 add("T11_counters", lambda s, d: T.counters(log(s, d)), f"WITH {LOG} SELECT type, count(*) AS n FROM lg GROUP BY 1")
 

@@ -135,9 +135,12 @@ def to_array(xs: DataFrame) -> DataFrame:
 
 
 def range_sum(xs: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Sum over [lo, hi) by the group's inverse: the prefix at hi less the prefix at lo."""
+    """Sum over [lo, hi) by the group's inverse: the prefix before hi less the prefix before lo. Bounds beyond
+    the end count as the end; an empty range has no sum (null)."""
     sums = plan.scan(xs, "v", plan.SUM, "s")
-    return sums.agg((F.max(F.when(F.col("pos") == hi - 1, F.col("s"))) - F.coalesce(F.max(F.when(F.col("pos") == lo - 1, F.col("s"))), F.lit(0))).alias("total"))
+    before = lambda bound: F.max_by("s", F.when(F.col("pos") < bound, F.col("pos")))
+    some = F.count_if((F.col("pos") >= lo) & (F.col("pos") < hi)) > 0
+    return sums.agg(F.when(some, before(hi) - F.coalesce(before(lo), F.lit(0))).alias("total"))
 
 
 def stream(xs: DataFrame, f: Callable) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import scan as plan
-from ..plans.scratch import scratch_path, written
+from ..plans.scratch import scratch_path, scratch_scope, written
 
 
 def vertex_count(graph: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ class Levels:
 def levels(graph: DataFrame, source: int) -> Levels:
     """Breadth-first levels from a source. A source's own level is 0."""
     spark = graph.sparkSession
-    graph = written(graph.select("src", "dst").distinct().repartition("src"), "edges")
+    graph = written(graph.select("src", "dst").distinct(), "edges")
     found = Levels(spark)
     found.add(spark.range(source, source + 1), 0)
     while found.add(edge_map(graph, found.last().select("id"), found.visited().select("id")), len(found.sizes)):
@@ -119,20 +119,22 @@ def components(graph: DataFrame, n: int, most: int = 200) -> DataFrame:
     """(vertex, label): the smallest vertex that reaches it along edges; on a symmetric graph, its component.
 
     Each round takes the smallest label over incoming edges, then the label of the label: reaching is
-    transitive, so that a chain takes rounds by the logarithm of its length.
+    transitive, so that a chain takes rounds by the logarithm of its length. Only labels that fell in
+    the round before are sent along edges again.
     """
     spark = graph.sparkSession
-    graph = written(graph.select("src", "dst").where("src <> dst").distinct().repartition("src"), "edges")
-    now = written(spark.range(n).select("id", F.col("id").alias("label")), "labels")
-    for _ in range(most):
-        sent = graph.join(now.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
-        least = written(now.unionByName(sent).groupBy("id").agg(F.min("label").alias("label")), "labels")
-        jump = least.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        after = written(least.join(jump, "label").select("id", F.least("label", "further").alias("label")), "labels")
-        changed = after.join(now.withColumnRenamed("label", "old"), "id").where("label <> old")
-        now = after
-        if changed.isEmpty():
-            return now.select(F.col("id").alias("vertex"), "label")
+    with scratch_scope(spark):
+        graph = written(graph.select("src", "dst").where("src <> dst").distinct(), "edges")
+        now = written(spark.range(n).select("id", F.col("id").alias("label"), F.lit(True).alias("fell")), "labels")
+        for _ in range(most):
+            sent = now.where("fell").select(F.col("id").alias("src"), "label").join(graph, "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
+            least = now.select("id", "label", F.col("label").alias("old")).unionByName(sent.withColumn("old", F.lit(None).cast("long")))
+            least = written(least.groupBy("id").agg(F.min("label").alias("label"), F.max("old").alias("old")), "labels")
+            jump = least.select(F.col("id").alias("label"), F.col("label").alias("further"))
+            after = least.join(jump, "label").select("id", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("fell"))
+            now = written(after, "labels")
+            if now.where("fell").isEmpty():
+                return written(now.select(F.col("id").alias("vertex"), "label"), "components", keep=True)
     raise RuntimeError("labels did not settle")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scan import positioned
-from ..plans.scratch import written
+from ..plans.scratch import scratch_scope, written
 from ..plans.shipping import ship
 
 
@@ -145,7 +145,7 @@ def local_hull(xs: np.ndarray, ys: np.ndarray) -> list[int]:
     return upper[:-1] + lower[:-1]
 
 
-DIRECTIONS = 64
+DIRECTIONS, MERGED = 64, 8
 
 
 def hull(points: DataFrame) -> DataFrame:
@@ -172,8 +172,15 @@ def hull(points: DataFrame) -> DataFrame:
             held = pd.concat(frames).sort_values("id").reset_index(drop=True)
             yield held.iloc[local_hull(held["x"].to_numpy(), held["y"].to_numpy())]
 
-    # A hull has far fewer points than the input unless all are on it; each round merges partitions.
-    left = written(left.select("id", "x", "y").mapInPandas(shrink, "id long, x double, y double"), "hull")
+    # A hull has far fewer points than the input unless all are on it; each round merges MERGED partitions.
+    schema, parts = "id long, x double, y double", None
+    with scratch_scope(points.sparkSession):
+        left = left.select("id", "x", "y")
+        while parts is None or parts > MERGED:
+            left = left if parts is None else left.coalesce(-(-parts // MERGED))
+            left = written(left.mapInPandas(shrink, schema), "hull")
+            parts = left.rdd.getNumPartitions()
+        left = written(left, "hull", keep=True)
 
     def finish(batches):
         frames = [f for f in batches if len(f)]
@@ -199,72 +206,56 @@ def exact_forces(particles: DataFrame) -> DataFrame:
     return pairs.where(r2 > 0).groupBy("id").agg(*[F.sum(v * size).alias(f"f{a}") for v, a in zip(diff, axes, strict=True)])
 
 
-class Tree:
-    """A Barnes-Hut tree of masses in arrays; leaves hold up to ``most`` particles."""
-
-    def __init__(self, points: np.ndarray, mass: np.ndarray, most: int = 16):
-        self.points, self.mass, self.nodes = points, mass, []
-        low, high = points.min(axis=0), points.max(axis=0)
-        self.build(np.arange(len(points)), (low + high) / 2, float((high - low).max()) or 1.0, most)
-
-    def build(self, members: np.ndarray, centre: np.ndarray, side: float, most: int, level: int = 0) -> int:
-        at = len(self.nodes)
-        mass = self.mass[members].sum()
-        self.nodes.append([mass, (self.points[members] * self.mass[members, None]).sum(axis=0) / mass, side, [], members])
-        if len(members) > most and level < 40:
-            quadrant = ((self.points[members] > centre) * (1, 2, 4)).sum(axis=1)
-            for q in range(8):
-                some = members[quadrant == q]
-                if len(some):
-                    sign = np.where([q & 1, q & 2, q & 4], 0.25, -0.25) * side
-                    self.nodes[at][3].append(self.build(some, centre + sign, side / 2, most, level + 1))
-        return at
-
-    def force(self, p: np.ndarray, m: float, own: int, alpha: float) -> tuple[np.ndarray, int, int]:
-        """Force on a particle; how many direct and how many far interactions it took."""
-        total, direct, far, todo = np.zeros(3), 0, 0, [0]
-        while todo:
-            mass, centre, side, children, members = self.nodes[todo.pop()]
-            v = centre - p
-            r2 = float(v @ v)
-            if r2 > alpha * alpha * side * side:
-                total += v * (m * mass / (r2 * math.sqrt(r2)))
-                far += 1
-            elif children:
-                todo += children
-            else:
-                some = members[members != own]
-                v = self.points[some] - p
-                r2 = (v * v).sum(axis=1)
-                near = r2 > 0
-                total += (v[near] * (m * self.mass[some[near]] / (r2[near] * np.sqrt(r2[near])))[:, None]).sum(axis=0)
-                direct += int(near.sum())
-        return total, direct, far
-
-
-#: Particles of one tree: it is sent to all executors, at 40 bytes a particle.
-TREE_PARTICLES = 2_000_000
-
-
-def barnes_hut(particles: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """(id, fx, fy, fz, direct, far). The tree is built once and shared; its size is checked."""
-    spark = particles.sparkSession
-    ship(spark)
-    if particles.count() > TREE_PARTICLES:
-        raise ValueError(f"one tree holds {TREE_PARTICLES} particles; sum cells first (tree, centre_of_mass)")
-    held = particles.select("id", "x", "y", "z", "mass").toPandas().sort_values("id").reset_index(drop=True)
-    shared = spark.sparkContext.broadcast((held["id"].to_numpy(), Tree(held[["x", "y", "z"]].to_numpy(float), held["mass"].to_numpy(float))))
-
-    def run(frames):
-        ids, built = shared.value
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                f, direct, far = built.force(np.array([r.x, r.y, r.z]), r.mass, int(np.searchsorted(ids, r.id)), alpha)
-                rows.append((r.id, *f, direct, far))
-            yield pd.DataFrame(rows, columns=["id", "fx", "fy", "fz", "direct", "far"])
-
-    return particles.select("id", "x", "y", "z", "mass").mapInPandas(run, "id long, fx double, fy double, fz double, direct long, far long")
+def mass_cells(bodies: DataFrame, depth: int, most: int) -> DataFrame:
+    """Bodies with codes -> cells (level, prefix, mass, cx, cy, cz, leaf): masses and their centres."""
+    axes = "xyz"
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"), *[F.sum(F.col("mass") * F.col(a)).alias(f"m{a}") for a in axes]]
+    cells = bodies.groupBy("code").agg(*sums)
+    levels = cells.select(F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level"), "code", "n", "mass", *[f"m{a}" for a in axes])
+    prefix = F.call_function("shiftright", F.col("code"), (3 * (depth - F.col("level"))).cast("int"))
+    nodes = levels.groupBy("level", prefix.alias("prefix")).agg(*[F.sum(c).alias(c) for c in ("n", "mass", *[f"m{a}" for a in axes])])
+    leaf = (F.col("n") <= most) | (F.col("level") == depth)
+    return nodes.select("level", "prefix", "mass", *[(F.col(f"m{a}") / F.col("mass")).alias(f"c{a}") for a in axes], leaf.alias("leaf"))
+
+
+def barnes_hut(particles: DataFrame, alpha: float = 1.0, depth: int = 10, most: int = 16) -> DataFrame:
+    """(id, fx, fy, fz, direct, far): forces by cells of an octree.
+
+    All particles go down the tree together, a join a level: a cell farther than alpha times its side acts
+    as one mass, the particles of a near leaf act one by one, other cells give way to their children.
+    """
+    with scratch_scope(particles.sparkSession):
+        low, side = boxed(particles, 3)
+        bodies = written(coded(particles.select("id", "x", "y", "z", "mass"), depth, 3), "bodies")
+        nodes = written(mass_cells(bodies, depth, most), "mass-cells")
+        others = bodies.select("code", *[F.col(c).alias(f"o_{c}") for c in ("id", "x", "y", "z", "mass")])
+        open_ = bodies.select("id", "x", "y", "z", "mass", F.lit(0).cast("long").alias("prefix"))
+        found = [bodies.select("id", *[F.lit(0.0).alias(f"f{a}") for a in "xyz"], F.lit(0).cast("long").alias("direct"), F.lit(0).cast("long").alias("far"))]
+        for level in range(depth + 1):
+            here = nodes.where(F.col("level") == level).select("prefix", F.col("mass").alias("m"), "cx", "cy", "cz", "leaf")
+            v = [F.col(f"c{a}") - F.col(a) for a in "xyz"]
+            r2 = v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
+            met = written(open_.join(here, "prefix").withColumn("r2", r2).withColumn("is_far", F.col("r2") > alpha * alpha * (side / (1 << level)) ** 2), "met")
+            pull = F.col("mass") * F.col("m") / (F.col("r2") * F.sqrt("r2"))
+            whole = met.where("is_far").groupBy("id").agg(*[F.sum(x * pull).alias(f"f{a}") for x, a in zip(v, "xyz", strict=True)], F.count(F.lit(1)).alias("far"))
+            found.append(written(whole.select("id", "fx", "fy", "fz", F.lit(0).cast("long").alias("direct"), "far"), "far"))
+            inside = others.withColumn("prefix", F.shiftright("code", 3 * (depth - level)))
+            pairs = met.where("not is_far and leaf").select("prefix", "id", "x", "y", "z", "mass").join(inside, "prefix").where("id <> o_id")
+            w = [F.col(f"o_{a}") - F.col(a) for a in "xyz"]
+            pairs = pairs.withColumn("r2", w[0] * w[0] + w[1] * w[1] + w[2] * w[2]).where("r2 > 0")
+            pull = F.col("mass") * F.col("o_mass") / (F.col("r2") * F.sqrt("r2"))
+            near = pairs.groupBy("id").agg(*[F.sum(x * pull).alias(f"f{a}") for x, a in zip(w, "xyz", strict=True)], F.count(F.lit(1)).alias("direct"))
+            found.append(written(near.select("id", "fx", "fy", "fz", "direct", F.lit(0).cast("long").alias("far")), "near"))
+            below = met.where("not is_far and not leaf")
+            if below.isEmpty():
+                break
+            child = F.explode(F.array(*[F.col("prefix") * 8 + q for q in range(8)]))
+            open_ = below.select("id", "x", "y", "z", "mass", child.alias("prefix"))
+        every = found[0]
+        for part in found[1:]:
+            every = every.unionByName(part)
+        sums = every.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("fx", "fy", "fz", "direct", "far")])
+        return written(sums, "forces", keep=True)
 
 
 def force_error(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import positioned
+from ..plans.scratch import scratch_scope, written
+
 # Event types in order of their codes, with their kinds (null: not tracked).
 TYPES = (
     ("enter_launch", "phases"),
@@ -117,10 +120,18 @@ TINY = -3.0
 
 def private_constants(measures: DataFrame) -> DataFrame:
     """(estimator, proc, seq, m) -> the constant of each after its measures: the first one, and then
-    (8 c + m) / 9, in order. One estimator's measures on one processor are folded in one row."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "m"))), lambda x: x["m"])
-    folded = F.aggregate(F.slice("ms", 2, F.greatest(F.size("ms") - 1, F.lit(0))), F.element_at("ms", 1), lambda c, m: (c * WEIGHT + m) / (WEIGHT + 1))
-    return measures.groupBy("estimator", "proc").agg(ordered.alias("ms")).select("estimator", "proc", folded.alias("cst"))
+    (8 c + m) / 9, in order.
+
+    The k-th measure from the end weighs (8/9)**k / 9, and the first one (8/9)**(n - 1). Its place comes from
+    dense positions over all rows, so that an estimator with most of the measures is split like any other.
+    """
+    keys = ["estimator", "proc"]
+    placed = written(positioned(measures.select(*keys, "seq", "m"), *keys, "seq"), "measures")
+    last = placed.groupBy(*keys).agg(F.max("pos").alias("last"))
+    keep = WEIGHT / (WEIGHT + 1)
+    age = F.col("last") - F.col("pos")
+    sums = F.sum(F.col("m") * F.pow(F.lit(keep), age)) / (WEIGHT + 1) + F.max_by("m", age) * F.pow(F.lit(keep), F.max(age) + 1)
+    return placed.join(last, keys).groupBy(*keys).agg(sums.alias("cst"))
 
 
 def shared_constant(values: list[float]) -> float | None:
@@ -135,11 +146,21 @@ def shared_constant(values: list[float]) -> float | None:
 
 
 def shared_constants(updates: DataFrame) -> DataFrame:
-    """(estimator, seq, c) -> the shared constant of each, by the same rule as an ordered fold."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "c"))), lambda x: x["c"])
-    rest = F.slice("cs", 2, F.greatest(F.size("cs") - 1, F.lit(0)))
-    folded = F.aggregate(rest, F.element_at("cs", 1), lambda s, c: F.when(c < s / REPORT, s / REPORT).otherwise(s))
-    return updates.groupBy("estimator").agg(ordered.alias("cs")).select("estimator", folded.alias("shared"))
+    """(estimator, seq, c) -> the shared constant of each, by the same rule as an ordered fold.
+
+    Each round finds the next value that halves an estimator's constant, by an aggregate over all rows;
+    there are as many rounds as halvings, whatever the number of values.
+    """
+    with scratch_scope(updates.sparkSession):
+        rows = written(updates.select("estimator", "seq", F.col("c").cast("double").alias("c")), "updates")
+        now = written(rows.groupBy("estimator").agg(F.min("seq").alias("at"), F.min_by("c", "seq").alias("shared")), "shared")
+        while True:
+            lower = rows.join(now, "estimator").where((F.col("seq") > F.col("at")) & (F.col("c") < F.col("shared") / REPORT))
+            moved = written(lower.groupBy("estimator").agg(F.min("seq").alias("next")), "moved")
+            if moved.isEmpty():
+                return written(now.select("estimator", "shared"), "shared", keep=True)
+            halved = F.when(F.col("next").isNotNull(), F.col("shared") / REPORT).otherwise(F.col("shared"))
+            now = written(now.join(moved, "estimator", "left").select("estimator", F.coalesce("next", "at").alias("at"), halved.alias("shared")), "shared")
 
 
 def predicted(constant: Column, complexity: Column) -> Column:

@@ -1,5 +1,6 @@
 """Literal examples and brute-force checks of operators that SQL can't state."""
 
+import math
 import random
 
 import numpy as np
@@ -149,6 +150,53 @@ def test_hull_and_neighbours(spark):
     assert spatial.nearest(few, few, 5).count() == 6
 
 
+def test_hull_of_a_circle_in_rounds(spark, monkeypatch):
+    # All points are on the hull, in more partitions than a round merges.
+    monkeypatch.setattr(spatial, "MERGED", 2)
+    n = 90
+    ring = [(i, math.cos(2 * math.pi * i / n), math.sin(2 * math.pi * i / n)) for i in range(n)]
+    points = spark.createDataFrame(ring + [(n + i, 0.0, 0.1 * i) for i in range(5)], "id long, x double, y double").repartition(7)
+    got = [r.id for r in spatial.hull(points).orderBy("pos").collect()]
+    assert got[0] == n // 2 and sorted(got) == list(range(n))
+    assert all((a - b) % n == 1 for a, b in zip(got, got[1:]))
+
+
+def test_range_sum(spark):
+    values = [5, -2, 7, 0, 3]
+    xs = spark.createDataFrame(list(enumerate(values)), "pos long, v long")
+    for lo, hi in ((0, 5), (0, 99), (1, 3), (2, 2), (4, 9), (5, 9), (7, 3)):
+        assert containers.range_sum(xs, lo, hi).first().total == (sum(values[lo:hi]) if values[lo:hi] else None)
+
+
+def test_components_equal_brute_force(spark):
+    rnd = random.Random(6)
+    n = 60
+    edges = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(70)} | {(i, i + 1) for i in range(40, 59)}
+    reach = [[i == j for j in range(n)] for i in range(n)]
+    for i, j in edges:
+        reach[i][j] = True
+    for k in range(n):
+        for i in range(n):
+            if reach[i][k]:
+                reach[i] = [a or b for a, b in zip(reach[i], reach[k])]
+    got = {r.vertex: r.label for r in graph.components(spark.createDataFrame(sorted(edges), "src long, dst long"), n).collect()}
+    assert got == {v: min(u for u in range(n) if reach[u][v]) for v in range(n)}
+
+
+def test_folds_equal_loops(spark):
+    rnd = random.Random(9)
+    rows = [(f"e{rnd.randrange(3)}", rnd.randrange(2), i, rnd.uniform(0.01, 100)) for i in range(400)]
+    table = spark.createDataFrame(rows, "estimator string, proc long, seq long, m double")
+    want, shared = {}, {}
+    for e, p, _, m in rows:
+        want[e, p] = (8 * want[e, p] + m) / 9 if (e, p) in want else m
+        shared.setdefault(e, []).append(m)
+    got = {(r.estimator, r.proc): r.cst for r in telemetry.private_constants(table).collect()}
+    assert got == pytest.approx(want)
+    halved = {r.estimator: r.shared for r in telemetry.shared_constants(table.withColumnRenamed("m", "c")).collect()}
+    assert halved == {e: telemetry.shared_constant(values) for e, values in shared.items()}
+
+
 def test_barnes_hut(spark):
     points = generators.points(spark, 120, generators.plummer).withColumn("mass", F.lit(1.0))
     near = spatial.barnes_hut(points)
