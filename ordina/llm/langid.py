@@ -40,6 +40,8 @@ HELD = 64
 SMOOTH = 0.5
 ROUNDS = 12
 BLANK = 32
+#: Characters worked on at once.
+BLOCK = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -54,16 +56,33 @@ def letters() -> np.ndarray:
     return table
 
 
-def trigrams(raw: bytes | None, buckets: int) -> np.ndarray:
-    """Buckets of the text's trigrams; none if the text has no letter."""
-    codes = letters()[np.frombuffer(common.decoded(raw).encode("utf-32-le", "replace"), np.uint32)]
-    if not (codes != BLANK).any():
-        return np.empty(0, np.int64)
-    codes = np.concatenate(([BLANK], codes, [BLANK])).astype(np.uint32)
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    mixed = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
-    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return (mixed >> np.uint32(8))[b != BLANK].astype(np.int64) % buckets
+def trigram_blocks(raw: bytes | None, buckets: int) -> Iterator[np.ndarray]:
+    """Buckets of the trigrams about each letter of the text, BLOCK characters at once."""
+    text = common.decoded(raw)
+    for at in range(0, len(text), BLOCK):
+        codes = letters()[np.frombuffer(text[max(0, at - 1) : at + BLOCK + 1].encode("utf-32-le", "replace"), np.uint32)]
+        codes = np.concatenate(([BLANK] * (at == 0), codes, [BLANK] * (at + BLOCK >= len(text)))).astype(np.uint32)
+        a, b, c = codes[:-2], codes[1:-1], codes[2:]
+        mixed = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (c * np.uint32(0xC2B2AE3D))
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        yield (mixed >> np.uint32(8))[b != BLANK].astype(np.int64) % buckets
+
+
+def trigrams(raw: bytes | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how often) of the text's trigrams; none if it has no letter. A text of more trigrams than
+    buckets has each bucket once."""
+    parts, total, counts = [], 0, None
+    for ids in trigram_blocks(raw, buckets):
+        parts.append(ids)
+        total += len(ids)
+        if total > buckets:
+            held = np.bincount(np.concatenate(parts), minlength=buckets)
+            counts, parts = held if counts is None else counts + held, []
+    if counts is not None:
+        ids = np.flatnonzero(counts)
+        return ids, counts[ids]
+    ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return ids, np.ones(len(ids), np.int64)
 
 
 def count(train: DataFrame, buckets: int) -> DataFrame:
@@ -80,15 +99,12 @@ def count(train: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for raw, lang in zip(common.texts(batch), batch.column("lang").to_pylist(), strict=True):
-                ids = trigrams(raw, buckets)
+                ids, often = trigrams(raw, buckets)
                 if lang not in sums:
                     if len(sums) == HELD:
                         yield from summed()
                     sums[lang] = np.zeros(buckets, np.int64)
-                if len(ids) > buckets // 8:
-                    sums[lang] += np.bincount(ids, minlength=buckets)
-                else:
-                    np.add.at(sums[lang], ids, 1)
+                np.add.at(sums[lang], ids, often)
         yield from summed()
 
     common.ship(train.sparkSession)
@@ -122,16 +138,10 @@ def fit(train: DataFrame) -> Model:
 
 def infer(model: Model, raw: bytes | None) -> tuple[list[int], np.ndarray]:
     """Chosen languages and their shares, largest first; nothing where there is no letter."""
-    ids = trigrams(raw, model.buckets)
+    ids, often = trigrams(raw, model.buckets)
     if not len(ids) or not model.langs:
         return [], np.empty(0)
-    if len(ids) > model.buckets:
-        counts = np.bincount(ids, minlength=model.buckets)
-        ids = np.flatnonzero(counts)
-        weights = counts[ids].astype(np.float32)
-    else:
-        weights = np.ones(len(ids), np.float32)
-    return chosen(model.likelihood[ids], weights)
+    return chosen(model.likelihood[ids], often.astype(np.float32))
 
 
 def mixture(like: np.ndarray, weights: np.ndarray, shares: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
