@@ -1,10 +1,11 @@
-"""Suffix-array dedup by distributed prefix doubling.
+"""Suffix-array dedup after distributed prefix doubling.
 
-A byte is removed if it lies in a string of ``threshold`` bytes that also starts anywhere else. Such
-strings are found as in prefix doubling: positions carry the rank of the string that starts there,
-Spark groups (rank, rank at a growing offset) pairs to rerank them, positions whose rank is unique
-drop out, and the rounds end once the strings reach the threshold. A rank is a 64-bit hash of its
-string rather than a dense number, so that equal strings have equal ranks without a global sort.
+A byte is removed if it lies in a string of ``threshold`` bytes that also starts anywhere else. As in
+prefix doubling, positions carry the rank of the string that starts there, Spark brings (rank, rank at an
+offset) pairs together, positions whose rank is unique drop out, and the rounds end once the strings
+reach the threshold. ``doubled`` is that method to the letter, from 8 bytes on and for every byte. It shuffles
+many times its input, so ``spans``, which the query uses, differs in two ways: a rank is a 64-bit hash of its string rather
+than a dense number, and rounds start at long strings of few positions rather than at short ones of all.
 
 Not all positions need to enter at once. A position is an anchor if a hash of its next 8 bytes says
 so (one in ``step``, on average); the strings' own bytes alone decide, so that equal strings have
@@ -46,10 +47,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scan import positioned
 from . import common
 
 THRESHOLD = 400
 CONTEXT = 8
+#: Positions whose hashes are worked out at once.
+BLOCK = 1 << 20
 #: Bits of a filter for each key, and the most bits that it has, as a power of two.
 SPARSE, MOST_BITS = 16, 28
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +80,8 @@ def groups(raw: bytes, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if n < threshold:
         return nothing, nothing, nothing
     eight = np.ndarray((n - CONTEXT + 1,), "<u8", raw, strides=(1,))
-    a = np.flatnonzero((eight * MIX) >> np.uint64(32) < np.uint64((1 << 32) // step))
+    parts = [np.flatnonzero((eight[at : at + BLOCK] * MIX) >> np.uint64(32) < np.uint64((1 << 32) // step)) + at for at in range(0, len(eight), BLOCK)]
+    a = np.concatenate(parts)
     if not len(a):
         return nothing, nothing, nothing
     before = np.concatenate(([-1], a[:-1]))
@@ -287,6 +292,39 @@ def spans(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return sure.unionByName(single).unionByName(inside).groupBy("u1", "u2").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
 
+def doubled(docs: DataFrame, threshold: int = THRESHOLD, first: int = 8) -> DataFrame:
+    """docs -> (row, text, pos): all starts of repeated windows by prefix doubling over every byte, without anchors.
+
+    Positions start with the rank of their first bytes. Each round drops positions whose rank is unique,
+    pairs a position's rank with that at the offset reached, and reranks by the sorted pairs. It gives
+    what ``spans`` gives, and is kept to check it: each round shuffles a row for every byte that still repeats.
+    """
+    halvings = max(0, (threshold // first).bit_length() - 1)
+    length = -(-threshold // (1 << halvings))
+    texts = common.written(docs.where("text is not null").select("text").withColumn("row", F.monotonically_increasing_id()), "doubling-texts", keep=True)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for row, raw in zip(batch.column("row").to_pylist(), common.texts(batch), strict=True):
+            n = len(raw) - length + 1
+            if n > 0:
+                view, digest = memoryview(raw), xxhash.xxh64_intdigest
+                ranks = np.fromiter((digest(view[i : i + length]) for i in range(n)), np.uint64, n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row)), pa.array(np.arange(n)), pa.array(ranks)], names=["row", "pos", "rank"])
+
+    with common.scratch_scope(docs.sparkSession):
+        ranks = common.written(common.map_arrow(texts, run, "row long, pos long, rank long"), "doubling")
+        while True:
+            often = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
+            ranks = ranks.join(often, "rank", "left_semi")
+            if length >= threshold:
+                return common.written(ranks.join(texts, "row").select("row", "text", "pos"), "doubled", keep=True)
+            offset = min(length, threshold - length)
+            pairs = common.written(ranks.join(ranks.select("row", (F.col("pos") - offset).alias("pos"), F.col("rank").alias("second")), ["row", "pos"]), "doubling-pairs")
+            kinds = positioned(pairs.groupBy("rank", "second").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank", "second"), "rank", "second", pos="fresh")
+            ranks = common.written(pairs.join(kinds, ["rank", "second"]).select("row", "pos", F.col("fresh").alias("rank")), "doubling")
+            length += offset
+
+
 def runs(ranges: list[dict] | None, threshold: int) -> list[tuple[int, int]]:
     """Ranges of window starts -> maximal runs [start, end) of covered bytes."""
     out: list[list[int]] = []
