@@ -157,13 +157,30 @@ def test_language_equals_plain_mixture():
         assert shares == pytest.approx([want[k] for k in order], abs=2e-3)
 
 
+def test_language_blocks(monkeypatch):
+    # Trigrams do not depend on how a text is cut into blocks, nor on how many there are.
+    rnd = random.Random(12)
+    text = "".join(rnd.choice("abcé .1漢") for _ in range(997)).encode()
+    for raw in (text, b"", b"1 2", b"x", b"ab", text[:8]):
+        whole = Counter(np.repeat(*langid.trigrams(raw, 1 << 16)).tolist())
+        few = Counter(np.repeat(*langid.trigrams(raw, 16)).tolist())
+        for block in (1, 2, 7, 100):
+            monkeypatch.setattr(langid, "BLOCK", block)
+            assert Counter(np.repeat(*langid.trigrams(raw, 1 << 16)).tolist()) == whole
+            assert Counter(np.repeat(*langid.trigrams(raw, 16)).tolist()) == few
+        monkeypatch.setattr(langid, "BLOCK", 1 << 20)
+        letters = sum(c.isalpha() for c in raw.decode("utf-8", "replace"))
+        assert whole.total() == few.total() == letters
+
+
 def test_language_counts(spark):
     # More languages than a task holds at once, with few and many rows each.
     rows = [(f"l{i % 150}", "abc de " * (1 + i % 7)) for i in range(600)]
     table = spark.createDataFrame(rows, "lang string, text string")
     want = Counter()
     for lang, text in rows:
-        want.update((lang, int(k)) for k in langid.trigrams(text.encode(), langid.BUCKETS))
+        for k, n in zip(*langid.trigrams(text.encode(), langid.BUCKETS), strict=True):
+            want[lang, int(k)] += int(n)
     got = {(r.lang, r.bucket): r.n for r in langid.count(table, langid.BUCKETS).collect()}
     assert got == want and len(langid.fit(table).langs) == 150
 
@@ -624,6 +641,13 @@ def passages(seed):
     return texts + texts[10:14]
 
 
+def test_suffix_blocks(monkeypatch):
+    raw = random.Random(2).randbytes(5000)
+    whole = suffix.groups(raw, 100)
+    monkeypatch.setattr(suffix, "BLOCK", 37)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, suffix.groups(raw, 100), strict=True))
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_suffix_brute_force(spark, seed):
     texts = passages(seed)
@@ -644,6 +668,16 @@ def test_suffix_documents(spark, docs):
     assert all(r.text == (t.text or "") for r, t in zip(got, rows, strict=True) if not r.n_removed)
 
 
+def test_suffix_equals_doubling(spark, docs):
+    few = docs.where("length(text) < 4000").orderBy("doc_id").limit(60).select("text")
+    for table, threshold in ((few, 400), (spark.createDataFrame([(t,) for t in passages(4)], "text string"), 50)):
+        starts = defaultdict(set)
+        for r in suffix.doubled(table, threshold).collect():
+            starts[r.text].add(r.pos)
+        found = {(r.u1, r.u2): {i for x in r.ranges for i in range(x["lo"], x["hi"] + 1)} for r in suffix.spans(table, threshold).collect()}
+        assert found and found == {suffix.identity(t.encode()): where for t, where in starts.items()}
+
+
 def test_suffix_empty(spark, awkward, empty):
     assert suffix.digests(empty).isEmpty()
     assert suffix.digests(awkward).count() == len(AWKWARD)
