@@ -357,9 +357,10 @@ def whole_characters(raw: bytes, removed: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def applied(docs: DataFrame, found: DataFrame, fn, schema, threshold: int) -> DataFrame:
+def applied(docs: DataFrame, fn, schema, threshold: int) -> DataFrame:
     """fn(batch, runs of each row) over all docs (doc, text); only texts with spans are shuffled to meet them."""
-    found = common.written(found, "spans")
+    with common.scratch_scope(docs.sparkSession):
+        found = common.written(spans(docs, threshold), "spans", keep=True)
     shared = docs.sparkSession.sparkContext.broadcast(Filter(found, "u1"))
 
     def whole(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -383,7 +384,7 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         text = pa.array(texts, pa.binary()).cast(batch.schema.field("text").type)
         yield pa.RecordBatch.from_arrays([batch.column("doc"), text], names=["doc", "text"])
 
-    cut = applied(whole, spans(docs, threshold), run, whole.schema, threshold)
+    cut = applied(whole, run, whole.schema, threshold)
     return cut.select(*[F.col("text") if c.lower() == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
@@ -402,7 +403,7 @@ def digests(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column("doc"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     schema = common.with_id(docs, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    return applied(docs.select(F.col("doc_id").alias("doc"), "text"), spans(docs, threshold), run, schema, threshold)
+    return applied(docs.select(F.col("doc_id").alias("doc"), "text"), run, schema, threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
