@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import arrays, containers, graph, numeric, sets, spatial
+from ..plans import rounds
 from ..plans import scan as plan
 from ..sources import graphs
 from .base import EVENTS, ORDERS, Catalog, events_seq, orders_seq, table
@@ -30,6 +31,9 @@ add("J8_matvec", lambda s, d: numeric.matvec(matrix(s, d), s.range(64).select(F.
 
 E_ = f"WITH {EVENTS}"
 add("U2_predicate", lambda s, d: arrays.filtered(events_seq(s, d), lambda v: (v > 100) & (v % 3 == 0)), f"{E_} SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, v FROM ev WHERE v > 100 AND v % 3 = 0")
+add("U3_user_fold", lambda s, d: rounds.fold(events_seq(s, d), lambda a, b: b if b % 7 == 0 else a, 0, block=256), f"{E_} SELECT coalesce(max_by(v, pos) FILTER (WHERE v % 7 = 0 AND pos > 0), min_by(v, pos), 0) AS v FROM ev")
+doubled_or_more = lambda items: items.select(F.explode(F.array(F.col("id") * 2, F.col("id") * 3 + 1)).alias("id")).where("id <= 2000")
+add("U13_worklist", lambda s, d: rounds.worklist(s.range(1, 2), doubled_or_more).select("id"), "WITH RECURSIVE w(id) AS (SELECT 1::BIGINT UNION SELECT x FROM (SELECT unnest([2 * id, 3 * id + 1]) AS x FROM w) t WHERE x <= 2000) SELECT id FROM w")
 add("U4_measure_with_inverse", lambda s, d: containers.range_sum(events_seq(s, d), 50, 5000), f"{E_} SELECT sum(v)::BIGINT AS total FROM ev WHERE pos >= 50 AND pos < 5000")
 add("U5_split_predicate", lambda s, d: arrays.measured_prefix(events_seq(s, d), F.col("v") * F.col("v") % 11, lambda m: m >= 2000), f"{E_}, x AS (SELECT pos, sum(v * v % 11) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM ev) SELECT min(pos) FILTER (WHERE m >= 2000) AS pos FROM x")
 add("U7_key_extractor", lambda s, d: arrays.stable_sort(orders_seq(s, d).withColumn("item", F.col("pos")), F.col("v") % 16).select("pos", "item"), f"WITH {ORDERS} SELECT row_number() OVER (ORDER BY v % 16, pos) - 1 AS pos, pos AS item FROM od")

@@ -122,7 +122,7 @@ pull AS (
 bh AS (SELECT id, sum(dx * f) AS fx, sum(dy * f) AS fy, sum(dz * f) AS fz, sum(direct)::BIGINT AS direct, sum(far)::BIGINT AS far FROM pull GROUP BY 1)
 """
 _EXACT = "(SELECT p.id, sum((q.x - p.x) * p.mass * q.mass / (r2 * sqrt(r2))) AS ex, sum((q.y - p.y) * p.mass * q.mass / (r2 * sqrt(r2))) AS ey, sum((q.z - p.z) * p.mass * q.mass / (r2 * sqrt(r2))) AS ez FROM em p, em q, LATERAL (SELECT (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z) AS r2) WHERE r2 > 0 GROUP BY 1)"
-add("K7_barnes_hut", lambda s, d: K.barnes_hut(particles(s, d)).select("id", *[F.round(f"f{a}", 6).alias(f"f{a}") for a in "xyz"]), f"{TREE_FORCES} SELECT id, round(fx, 6) AS fx, round(fy, 6) AS fy, round(fz, 6) AS fz FROM bh")
+add("K7_barnes_hut", lambda s, d: K.barnes_hut(particles(s, d)).select("id", *[F.round(f"f{a}", 3).alias(f"f{a}") for a in "xyz"]), f"{TREE_FORCES} SELECT id, round(fx, 3) AS fx, round(fy, 3) AS fy, round(fz, 3) AS fz FROM bh")
 FORCE = f"WITH {EM}, pr AS (SELECT p.id, p.mass * q.mass AS mm, q.x - p.x AS dx, q.y - p.y AS dy, q.z - p.z AS dz FROM em p, em q WHERE p.id <> q.id), r AS (SELECT *, dx * dx + dy * dy + dz * dz AS r2 FROM pr) SELECT id, round(sum(dx * mm / (r2 * sqrt(r2))), 3) AS fx, round(sum(dy * mm / (r2 * sqrt(r2))), 3) AS fy FROM r WHERE r2 > 0 GROUP BY id"
 add("K7_exact_forces", lambda s, d: K.exact_forces(particles(s, d)).select("id", F.round("fx", 3).alias("fx"), F.round("fy", 3).alias("fy")), FORCE)
 add("K8_force_error", lambda s, d: K.force_error(K.barnes_hut(particles(s, d)), K.exact_forces(particles(s, d))).select((F.col("error") < 0.1).alias("ok"), F.round("error", 9).alias("error")), f"{TREE_FORCES} SELECT error < 0.1 AS ok, round(error, 9) AS error FROM (SELECT avg(sqrt(((fx - ex) * (fx - ex) + (fy - ey) * (fy - ey) + (fz - ez) * (fz - ez)) / (ex * ex + ey * ey + ez * ez))) AS error FROM bh JOIN {_EXACT} USING (id))")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordina.functions import hashing as H
 from ordina.functions import scalars
 from ordina.operators import arrays, containers, graph, spatial, telemetry
+from ordina.plans import rounds
 from ordina.plans import scan as plan
 from ordina.sources import files, generators, graphs
 
@@ -197,6 +198,21 @@ def test_folds_equal_loops(spark):
     assert halved == {e: telemetry.shared_constant(values) for e, values in shared.items()}
 
 
+def test_user_folds(spark):
+    # Joining strings does not commute; positions may have gaps.
+    words = [(7 * i + i % 3, f"w{i}") for i in range(50)]
+    xs = spark.createDataFrame(words, "pos long, v string").repartition(5)
+    assert rounds.fold(xs, lambda a, b: a + b, "", "string", block=8).first().v == "".join(w for _, w in words)
+    assert rounds.fold(xs.where("false"), lambda a, b: a + b, "none", "string").first().v == "none"
+
+
+def test_worklist(spark):
+    expand = lambda items: items.select((F.col("id") + 3).alias("id")).where("id < 100").unionByName(items.where("id = 1").select(F.lit(0).cast("long").alias("id")))
+    got = {r.id: r["round"] for r in rounds.worklist(spark.createDataFrame([(1,), (1,)], "id long"), expand).collect()}
+    assert got == {1 + 3 * k: k for k in range(33)} | {3 * k: k + 1 for k in range(34)}
+    assert rounds.worklist(spark.range(0), expand).isEmpty()
+
+
 def test_barnes_hut(spark):
     points = generators.points(spark, 120, generators.plummer).withColumn("mass", F.lit(1.0))
     near = spatial.barnes_hut(points)
