@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import scan as plan
@@ -104,11 +104,22 @@ def max_index(xs: DataFrame) -> DataFrame:
 # Scans
 
 
-def mcss(xs: DataFrame) -> DataFrame:
-    """Largest sum of a contiguous, non-empty run; VALUE_MIN where there is none."""
-    sums = plan.scan(xs, "v", plan.SUM, "s")
-    least = plan.scan(sums, "s", plan.MIN, "m", inclusive=False)
-    return least.agg(F.coalesce(F.max(F.col("s") - F.least(F.col("m"), F.lit(0))), F.lit(VALUE_MIN)).alias("mcss"))
+def mcss(xs: DataFrame, block: int = plan.BLOCK) -> DataFrame:
+    """Largest sum of a contiguous, non-empty run; VALUE_MIN where there is none.
+
+    One pass over blocks of positions gives each block's total, its least and largest prefix and its best
+    run; runs over several blocks come from the few block rows.
+    """
+    inside = Window.partitionBy("b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    rows = xs.select(F.floor(F.col("pos") / block).alias("b"), "pos", F.coalesce("v", zero).alias("v"))
+    rows = rows.withColumn("s", F.sum("v").over(inside))
+    rows = rows.withColumn("m", F.min(F.col("s") - F.col("v")).over(inside))  # least prefix before here, the block's start included
+    blocks = rows.groupBy("b").agg(F.sum("v").alias("total"), F.min("s").alias("low"), F.max("s").alias("high"), F.max(F.col("s") - F.col("m")).alias("best"))
+    blocks = blocks.withColumn("base", F.coalesce(F.sum("total").over(earlier), zero))
+    blocks = blocks.withColumn("least", F.least(F.coalesce(F.min(F.col("base") + F.col("low")).over(earlier), zero), zero))
+    return blocks.agg(F.coalesce(F.max(F.greatest("best", F.col("base") + F.col("high") - F.col("least"))), F.lit(VALUE_MIN)).alias("mcss"))
 
 
 def next_nonempty(counts: DataFrame, m: int) -> DataFrame:

@@ -198,6 +198,16 @@ def test_folds_equal_loops(spark):
     assert halved == {e: telemetry.shared_constant(values) for e, values in shared.items()}
 
 
+def test_mcss_over_blocks(spark):
+    rnd = random.Random(3)
+    for n in (1, 5, 23):
+        for low in (-9, -20):
+            values = [rnd.randrange(low, 10) for _ in range(n)]
+            want = max(sum(values[i:j]) for i in range(n) for j in range(i + 1, n + 1))
+            for block in (1, 3, 100):
+                assert arrays.mcss(seq(spark, values), block).first().mcss == want
+
+
 def test_user_folds(spark):
     # Joining strings does not commute; positions may have gaps.
     words = [(7 * i + i % 3, f"w{i}") for i in range(50)]
