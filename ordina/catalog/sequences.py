@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import arrays, containers, numeric, sets
+from ..operators import arrays, buffers, containers, numeric, sets
 from ..plans import scan as plan
 from .base import EVENTS, ORDERS, Catalog, events_seq, orders_seq, table
 
@@ -87,12 +87,7 @@ add("P23_lambdas", lambda s, d: events_seq(s, d).select("pos", (F.col("v") + 1).
 # Reductions
 
 add("A1_reduce", lambda s, d: arrays.reduced(events_seq(s, d), plan.SUM, lambda v: v * v), f"{E_} SELECT coalesce(sum(v * v), 0)::BIGINT AS v FROM ev")
-add(
-    "A2_sum_max_min",
-    lambda s, d: events_seq(s, d).where("v < -100000").unionByName(events_seq(s, d).where("pos < 0")).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("sum"), F.coalesce(F.max("v"), F.lit(arrays.VALUE_MIN)).alias("max"), F.coalesce(F.min("v"), F.lit(arrays.VALUE_MAX)).alias("min")),
-    f"{E_} SELECT coalesce(sum(v), 0)::BIGINT AS sum, coalesce(max(v), -9223372036854775807 - 1) AS max, coalesce(min(v), 9223372036854775807) AS min FROM ev WHERE v < -100000",
-)
-add("A2_sum_max_min_events", lambda s, d: events_seq(s, d).agg(F.sum("v").alias("sum"), F.max("v").alias("max"), F.min("v").alias("min")), f"{E_} SELECT sum(v)::BIGINT AS sum, max(v) AS max, min(v) AS min FROM ev")
+add("A2_sum_max_min", lambda s, d: events_seq(s, d).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("sum"), F.coalesce(F.max("v"), F.lit(arrays.VALUE_MIN)).alias("max"), F.coalesce(F.min("v"), F.lit(arrays.VALUE_MAX)).alias("min")), f"{E_} SELECT coalesce(sum(v), 0)::BIGINT AS sum, coalesce(max(v), -9223372036854775807 - 1) AS max, coalesce(min(v), 9223372036854775807) AS min FROM ev")
 add("A3_reduce_nonempty", lambda s, d: events_seq(s, d).agg(F.min("v").alias("v")), f"{E_} SELECT min(v) AS v FROM ev")
 add("A4_plus_max_reduce", lambda s, d: events_seq(s, d).agg(F.sum("v").alias("plus"), F.max("v").alias("max")), f"{E_} SELECT sum(v)::BIGINT AS plus, max(v) AS max FROM ev")
 add("A5_map_reduce", lambda s, d: arrays.reduced(events_seq(s, d), plan.MAX, lambda v: F.abs(v) % 977), f"{E_} SELECT max(abs(v) % 977) AS v FROM ev")
@@ -241,6 +236,22 @@ add("Q20_search_by", lambda s, d: arrays.measured_prefix(seq(s, d), F.lit(1), la
 add("Q21_for_each", lambda s, d: containers.stream(seq(s, d), lambda v: 0 - v), f"{SQ} SELECT pos, -v AS v FROM sq")
 add("Q22_cached_measure", lambda s, d: seq(s, d).agg(F.sum(F.abs("v") % 10).alias("weight"), F.count(F.lit(1)).alias("size")), f"{SQ} SELECT sum(abs(v) % 10)::BIGINT AS weight, count(*) AS size FROM sq")
 add("Q23_to_array", lambda s, d: containers.to_array(seq(s, d)), f"{SQ} SELECT string_agg(v::VARCHAR, ',' ORDER BY pos) AS items FROM sq")
+
+
+def buffered(s, d):
+    """Two buffers of 1000: the ends of one change, and its last items move to the other, which is full then."""
+    one = buffers.Buffer(containers.frontn(seq(s, d), 990), 1000).push_front(-1).push_back(-2)
+    two = buffers.Buffer(containers.frontn(orders_seq(s, d), 700), 1000)
+    one, two = one.transfer_back_to_front(two, 300)
+    out = one.items.select(F.lit("one").alias("of"), "pos", "v").unionByName(two.items.select(F.lit("two").alias("of"), "pos", "v"))
+    return out.join(two.state().select(F.lit("two").alias("of"), "full"), "of", "left")
+
+
+add(
+    "Q25_fixed_capacity",
+    buffered,
+    f"{SQ}, {ORDERS}, o AS (SELECT pos + 1 AS pos, v FROM sq WHERE pos < 990 UNION ALL SELECT 0, -1 UNION ALL SELECT 991, -2) SELECT 'one' AS of, pos, v, NULL::BOOLEAN AS full FROM o WHERE pos < 692 UNION ALL SELECT 'two', pos - 692, v, true FROM o WHERE pos >= 692 UNION ALL SELECT 'two', pos + 300, v, true FROM od WHERE pos < 700",
+)
 add("Q27_measures", lambda s, d: seq(s, d).agg(*[F.sum(m(F.col("v"))).alias(n) for n, m in containers.MEASURES.items()]), f"{SQ} SELECT 0::BIGINT AS trivial, count(*) AS uniform, sum(abs(v) % 10)::BIGINT AS weight FROM sq")
 add("Q28_algebra_inverse", lambda s, d: containers.range_sum(seq(s, d), 100, 900), f"{SQ} SELECT sum(v)::BIGINT AS total FROM sq WHERE pos >= 100 AND pos < 900")
 add("Q29_cached_combiner", lambda s, d: plan.scan(plan.scan(seq(s, d), F.lit(1), plan.COUNT, "size"), F.abs("v") % 10, plan.SUM, "weight"), f"{SQ} SELECT pos, v, row_number() OVER (ORDER BY pos) AS size, (sum(abs(v) % 10) OVER (ORDER BY pos))::BIGINT AS weight FROM sq")

@@ -77,10 +77,9 @@ add("X20_angles", abc(lambda a, b, c: [F.round(P.angle(a, b, c), 3).alias("angle
 add("X21_parsed_numbers", lambda s, d: table(s, d, "part").select("p_partkey", X.parsed_number(F.regexp_extract("p_brand", "#?(.*)$", 1), "long").alias("n")), "SELECT p_partkey, coalesce(try_cast(trim(regexp_extract(p_brand, '#?(.*)$', 1)) AS BIGINT), 0) AS n FROM part")
 add("X22_atomics", lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("added"), F.min("l_partkey").alias("least"), F.max("l_partkey").alias("most")), "SELECT l_suppkey, sum(l_quantity::BIGINT)::BIGINT AS added, min(l_partkey) AS least, max(l_partkey) AS most FROM lineitem GROUP BY 1")
 add("X23_gravity", abc(lambda a, b, c: [F.round(P.gravity(a, P.vec(F.lit(9.0), F.lit(8.0), F.lit(7.0)), F.lit(2.0), F.lit(3.0))["x"], 7).alias("fx")]), f"{VE}, r AS (SELECT id, 9 - x AS dx, (9 - x) * (9 - x) + (8 - y) * (8 - y) + (7 - z) * (7 - z) AS r2 FROM ve) SELECT id, round(dx * 6 / (r2 * sqrt(r2)), 7) AS fx FROM r")
-add("X24_readable_time", lambda s, d: nums(s, d).select("id", X.readable_time((F.col("n") * F.col("n")).cast("double")).alias("t")).where("t like '%micro%'"), f"WITH {NM} SELECT id, (n * n) || ' microseconds' AS t FROM nm WHERE n * n < 1000")
 # Decimal digits rounded half up, in whole numbers.
 TIME = "CASE WHEN us >= 1000000 THEN ((us + 50000) // 100000) // 10 || '.' || ((us + 50000) // 100000) % 10 || ' seconds' WHEN us >= 100000 THEN ((us + 5000) // 10000) // 100 || '.' || lpad((((us + 5000) // 10000) % 100)::VARCHAR, 2, '0') || ' seconds' WHEN us >= 10000 THEN ((us + 50) // 100) // 10 || '.' || ((us + 50) // 100) % 10 || ' milliseconds' WHEN us >= 1000 THEN ((us + 5) // 10) // 100 || '.' || lpad((((us + 5) // 10) % 100)::VARCHAR, 2, '0') || ' milliseconds' ELSE us || ' microseconds' END"
-add("X24_readable_time_all", lambda s, d: nums(s, d).select("id", X.readable_time((F.col("n") * F.col("n")).cast("double")).alias("t")), f"WITH {NM} SELECT id, {TIME} AS t FROM (SELECT id, n * n AS us FROM nm)")
+add("X24_readable_time", lambda s, d: nums(s, d).select("id", X.readable_time((F.col("n") * F.col("n")).cast("double")).alias("t")), f"WITH {NM} SELECT id, {TIME} AS t FROM (SELECT id, n * n AS us FROM nm)")
 add("X25_colour_step", lambda s, d: nums(s, d).select("id", X.colour_step(F.col("n") / 1024).alias("c")), f"WITH {NM} SELECT id, least(greatest(floor(n / 1024 * 1530), 0), 1530)::BIGINT AS c FROM nm")
 
 # Trees, neighbours, hull, forces
@@ -96,7 +95,17 @@ knn = lambda df: df.select("id", "rank", "ngh", F.round("dist2", 9).alias("dist2
 add("K3_nearest", lambda s, d: knn(K.nearest(particles(s, d), particles(s, d), 1)), KNN.format(DIST, 1))
 add("K4_all_knn", lambda s, d: knn(K.nearest(particles(s, d), particles(s, d), 5)), KNN.format(DIST, 5))
 add("K5_knn_3d", lambda s, d: knn(K.nearest(particles(s, d), particles(s, d), 3, 3)), KNN.format(f"{DIST} + (q.z - p.z) * (q.z - p.z)", 3))
-add("K6_hull", lambda s, d: K.hull(points(s, d)))
+#: The ring step by step: from each corner the point that needs the least turn to the right.
+WRAP = f"""WITH RECURSIVE {PT}, ring AS (
+  SELECT 0::BIGINT AS pos, id, x, y, pi() / 2 AS ang, id AS start FROM (SELECT * FROM pt ORDER BY x, y, id LIMIT 1)
+  UNION ALL
+  SELECT pos, id, x, y, ang, start FROM (
+    SELECT *, CASE WHEN was - ang < -1e-12 THEN was - ang + 2 * pi() ELSE was - ang END AS turn
+    FROM (SELECT r.pos + 1 AS pos, p.id, p.x, p.y, r.ang AS was, atan2(p.y - r.y, p.x - r.x) AS ang, start, (p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y) AS far FROM ring r, pt p)
+    WHERE far > 0 ORDER BY turn, far DESC, id LIMIT 1
+  ) WHERE id <> start
+)"""
+add("K6_hull", lambda s, d: K.hull(points(s, d)), f"{WRAP} SELECT pos, id FROM ring")
 #: The same tree by cells of each level: depth 10, leaves of 16, alpha 1.
 _AXES = (("x", "ix"), ("y", "iy"), ("z", "iz"))
 _WIDE = "(SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM em) b"
@@ -128,6 +137,10 @@ add("K7_exact_forces", lambda s, d: K.exact_forces(particles(s, d)).select("id",
 add("K8_force_error", lambda s, d: K.force_error(K.barnes_hut(particles(s, d)), K.exact_forces(particles(s, d))).select((F.col("error") < 0.1).alias("ok"), F.round("error", 9).alias("error")), f"{TREE_FORCES} SELECT error < 0.1 AS ok, round(error, 9) AS error FROM (SELECT avg(sqrt(((fx - ex) * (fx - ex) + (fy - ey) * (fy - ey) + (fz - ez) * (fz - ez)) / (ex * ex + ey * ey + ez * ez))) AS error FROM bh JOIN {_EXACT} USING (id))")
 add("K9_interactions", lambda s, d: K.barnes_hut(particles(s, d)).agg(F.sum("direct").alias("direct"), F.sum("far").alias("far")), f"{TREE_FORCES} SELECT sum(direct)::BIGINT AS direct, sum(far)::BIGINT AS far FROM bh")
 add("K10_cell_moments", lambda s, d: K.cell_moments(particles(s, d)).select("code", "n", F.round(F.col("re")[0], 6).alias("mass")), f"WITH {EM}, cd AS (SELECT mass, " + ", ".join(f"least(floor(({a} - m{a}) / side * 4)::BIGINT, 3) AS c{a}" for a in "xyz") + " FROM em, (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM em) b) SELECT (" + " + ".join(f"((c{a} >> {i}) & 1) * {8**i * (1 << bit)}" for i in range(2) for bit, a in enumerate("xyz")) + ")::BIGINT AS code, count(*) AS n, round(sum(mass), 6) AS mass FROM cd GROUP BY 1")
+#: Moments up to degree 2 about the middle of the box, straight from the particles.
+_U = "(SELECT mass AS m, x - mx - side / 2 AS x, y - my - side / 2 AS y, z - mz - side / 2 AS z FROM em, (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS side FROM em))"
+_DEGREES = [("1", "0"), ("x / sqrt(2)", "y / sqrt(2)"), ("z", "0"), ("-x / sqrt(2)", "y / sqrt(2)"), ("sqrt(0.375) * (x * x - y * y)", "sqrt(0.375) * 2 * x * y"), ("sqrt(1.5) * x * z", "sqrt(1.5) * y * z"), ("z * z - (x * x + y * y) / 2", "0"), ("-sqrt(1.5) * x * z", "sqrt(1.5) * y * z"), ("sqrt(0.375) * (x * x - y * y)", "-sqrt(0.375) * 2 * x * y")]
+add("K10_whole_moments", lambda s, d: K.whole_moments(particles(s, d), 3, 2).select("k", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("re", "im")]), f"WITH {EM}, u AS {_U} " + " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, round(sum(m * ({re}))::DOUBLE, 4) + 0.0::DOUBLE AS re, round(sum(m * ({im}))::DOUBLE, 4) + 0.0::DOUBLE AS im FROM u" for k, (re, im) in enumerate(_DEGREES)))
 
 # Event logs: users as processors, views and clicks as waits, purchases and sign-ups as the computation
 

@@ -304,15 +304,109 @@ def multipole_potential(moments: np.ndarray, points: np.ndarray, centre: np.ndar
     return (harmonics(points - centre, terms)[1] * moments).sum(axis=1).real
 
 
+def scales(terms: int) -> np.ndarray:
+    """sqrt((l - m)! (l + m)!) over (l, m): harmonics over these add up without further weights."""
+    return np.array([math.sqrt(math.factorial(l - m) * math.factorial(l + m)) for l in range(terms) for m in range(-l, l + 1)])
+
+
+def degrees_of(terms: int) -> list[tuple[int, int]]:
+    return [(l, m) for l in range(terms) for m in range(-l, l + 1)]
+
+
+def moved_moments(moments: np.ndarray, shift: np.ndarray, terms: int) -> np.ndarray:
+    """Moments about a centre -> about another one; ``shift`` leads from the other one to the first."""
+    s = scales(terms)
+    inner, step = moments / s, np.conj(harmonics(shift[None], terms)[0][0]) / s
+    out = np.zeros(len(s), complex)
+    for i, (l, m) in enumerate(degrees_of(terms)):
+        for j, (k, q) in enumerate(degrees_of(l + 1)):
+            if abs(m - q) <= l - k:
+                out[i] += inner[j] * step[(l - k) ** 2 + (l - k) + (m - q)]
+    return out * s
+
+
+def local_expansion(moments: np.ndarray, shift: np.ndarray, terms: int) -> np.ndarray:
+    """Moments about a centre -> expansion about a far point, ``shift`` from that centre."""
+    s = scales(terms)
+    wide = 2 * terms - 1
+    outer = harmonics(shift[None], wide)[1][0] * scales(wide)
+    out = np.zeros(len(s), complex)
+    for i, (k, q) in enumerate(degrees_of(terms)):
+        for j, (l, m) in enumerate(degrees_of(terms)):
+            n = l + k
+            out[i] += (-1) ** k * moments[j] / s[j] * outer[n * n + n + m + q]
+    return out
+
+
+def moved_expansion(local: np.ndarray, shift: np.ndarray, terms: int) -> np.ndarray:
+    """An expansion about a point -> about another one, ``shift`` from it."""
+    step = np.conj(harmonics(shift[None], terms)[0][0]) / scales(terms)
+    out = np.zeros(len(local), complex)
+    for j, (k, q) in enumerate(degrees_of(terms)):
+        for i, (a, b) in enumerate(degrees_of(k + 1)):
+            if abs(q - b) <= k - a:
+                out[i] += local[j] * step[(k - a) ** 2 + (k - a) + (q - b)]
+    return out
+
+
+def local_potential(local: np.ndarray, points: np.ndarray, centre: np.ndarray, terms: int) -> np.ndarray:
+    """Potential of points by the expansion about a centre near them."""
+    return (np.conj(harmonics(points - centre, terms)[0]) / scales(terms) * local).sum(axis=1).real
+
+
 def cell_moments(particles: DataFrame, terms: int = 4, depth: int = 2) -> DataFrame:
-    """Moments per cell of a grid about the cell's centre of mass: (code, l_m, re, im) as arrays."""
+    """Moments per cell of a grid about the cell's centre of mass: code, n, centre, and re, im over (l, m)."""
     ship(particles.sparkSession)
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         points, mass = frame[["x", "y", "z"]].to_numpy(float), frame["mass"].to_numpy(float)
         centre = (points * mass[:, None]).sum(axis=0) / mass.sum()
         moments = multipole(points, mass, centre, terms)
-        return pd.DataFrame({"code": [key[0]], "n": [len(frame)], "re": [moments.real.tolist()], "im": [moments.imag.tolist()]})
+        return pd.DataFrame({"code": [key[0]], "n": [len(frame)], "centre": [centre.tolist()], "re": [moments.real.tolist()], "im": [moments.imag.tolist()]})
 
     coded_ = coded(particles, depth, 3).select("code", "id", "x", "y", "z", "mass")
-    return coded_.groupBy("code").applyInPandas(run, "code long, n long, re array<double>, im array<double>")
+    return coded_.groupBy("code").applyInPandas(run, "code long, n long, centre array<double>, re array<double>, im array<double>")
+
+
+def whole_moments(particles: DataFrame, terms: int = 4, depth: int = 2) -> DataFrame:
+    """(k, re, im): moments of all particles about the middle of their box, where those of its cells are moved."""
+    low, side = boxed(particles, 3)
+    middle = np.array(low) + side / 2
+
+    def run(batches):
+        for frame in batches:
+            moved = [moved_moments(np.array(re) + 1j * np.array(im), np.array(c) - middle, terms) for c, re, im in zip(frame["centre"], frame["re"], frame["im"], strict=True)]
+            if moved:
+                total = np.sum(moved, axis=0)
+                yield pd.DataFrame({"k": range(len(total)), "re": total.real, "im": total.imag})
+
+    cells = cell_moments(particles, terms, depth).select("centre", "re", "im")
+    return cells.mapInPandas(run, "k long, re double, im double").groupBy("k").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def far_potential(sources: DataFrame, targets: DataFrame, terms: int = 6, depth: int = 2) -> DataFrame:
+    """(id, potential) of targets (id, x, y, z) far from the sources' box: the sources' moments become one
+    expansion about the targets' middle, moved to each target's cell and evaluated there.
+
+    Only the moments, terms * terms numbers, pass the driver.
+    """
+    ship(targets.sparkSession)
+    low, side = boxed(sources, 3)
+    to, width = boxed(targets, 3)
+    moments = np.zeros(terms * terms, complex)
+    for row in whole_moments(sources, terms, depth).collect():
+        moments[row.k] = row.re + 1j * row.im
+    middle, cell = np.array(to) + width / 2, width / (1 << depth)
+    local = local_expansion(moments, middle - (np.array(low) + side / 2), terms)
+
+    def run(batches):
+        for frame in batches:
+            points = frame[["x", "y", "z"]].to_numpy(float)
+            place = np.minimum(np.floor((points - np.array(to)) / cell), (1 << depth) - 1) if cell else np.zeros_like(points)
+            out = np.empty(len(points))
+            for at in np.unique(place, axis=0):
+                some, centre = (place == at).all(axis=1), np.array(to) + (at + 0.5) * cell
+                out[some] = local_potential(moved_expansion(local, centre - middle, terms), points[some], centre, terms)
+            yield pd.DataFrame({"id": frame["id"], "potential": out})
+
+    return targets.select("id", "x", "y", "z").mapInPandas(run, "id long, potential double")

@@ -1,8 +1,8 @@
 """Ordered scans and dense positions without a window over all rows in one task.
 
-A scan has two passes, both partitioned: positions fall into blocks of ``block`` positions, each
-block is aggregated, the few block rows are scanned, and a window inside of each block starts from
-its block's prefix. The table of blocks has a row for ``block`` positions.
+Positions fall into blocks of ``block`` positions, each block is aggregated, the blocks themselves fall
+into blocks of blocks, and a window inside of each starts from the prefix of the one that holds it. Only
+the top level is scanned in one task: a row for ``block * block`` positions.
 """
 
 from __future__ import annotations
@@ -44,14 +44,21 @@ def scan(df: DataFrame, value: Column | str, monoid: Monoid = SUM, out: str = "s
     identity = F.lit(monoid.identity)
     order = (lambda c: F.col(c).desc()) if back else (lambda c: F.col(c).asc())
     held = monoid.aggregate(F.col("_v"))
+    if monoid.name == "last":
+        held = F.max_by("_v", F.when(F.col("_v").isNotNull(), -F.col(pos) if back else F.col(pos)))
     blocks = lifted.groupBy("_blk").agg(held.alias("_b"))
-    over_blocks = Window.orderBy(order("_blk")).rowsBetween(Window.unboundedPreceding, -1)
     combined = F.sum if monoid.name == "count" else monoid.aggregate
     if monoid.name == "last":
-        prefix = F.last("_b", ignorenulls=True).over(over_blocks)
+        joined, folded = (lambda a, b: F.coalesce(b, a)), lambda c: F.last(c, ignorenulls=True)
+        top = F.max_by("_b", F.when(F.col("_b").isNotNull(), -F.col("_blk") if back else F.col("_blk")))
     else:
-        prefix = combined(F.col("_b")).over(over_blocks)
-    blocks = blocks.select("_blk", prefix.alias("_pre"))
+        joined, folded, top = (lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(monoid.combine(a, b))), combined, combined(F.col("_b"))
+    blocks = blocks.withColumn("_top", F.floor(F.col("_blk") / block).cast("long"))
+    tops = blocks.groupBy("_top").agg(top.alias("_t"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(order(keys[-1])).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_top", folded(F.col("_t")).over(before("_top")).alias("_t"))
+    blocks = blocks.withColumn("_b", folded(F.col("_b")).over(before("_top", "_blk"))).join(tops, "_top")
+    blocks = blocks.select("_blk", joined(F.col("_t"), F.col("_b")).alias("_pre"))
     inside = Window.partitionBy("_blk").orderBy(order(pos)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     within = F.last("_v", ignorenulls=True).over(inside) if monoid.name == "last" else monoid.aggregate(F.col("_v")).over(inside)
     if monoid.name == "last":

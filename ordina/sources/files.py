@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions.scalars import parsed_number
-from ..plans.scan import positioned
+from ..plans.scan import positioned, reindexed
 from ..plans.scratch import written
 
 BLANKS = r"[ \t\r\n\x00]+"
@@ -88,6 +88,71 @@ def matrix_market_lines(cells: DataFrame, rows: int, columns: int, entries: int)
     return head.unionByName(body)
 
 
+#: Numbers of a cell by the kind of the matrix.
+WIDTHS = {"pattern": 0, "real": 1, "integer": 1, "complex": 2}
+
+
+def numbers_text(kind: str) -> Column:
+    """The numbers (re, im) of a cell as a file of this kind has them."""
+    if kind == "integer":
+        return F.format_string("%d", F.col("re").cast("long"))
+    return F.format_string("%.16g %.16g", "re", "im") if kind == "complex" else F.format_string("%.16g", "re")
+
+
+def matrix_lines(cells: DataFrame, rows: int, columns: int, entries: int, kind: str = "real", shape: str = "general") -> DataFrame:
+    """(r, c, re, im) -> (pos, value) of a coordinate file: banner, sizes and 1-based cells."""
+    head = cells.sparkSession.createDataFrame([(0, f"%%MatrixMarket matrix coordinate {kind} {shape}"), (1, f"{rows} {columns} {entries}")], "pos long, value string")
+    place = F.format_string("%d %d", F.col("r") + 1, F.col("c") + 1)
+    text = F.concat_ws(" ", place, numbers_text(kind)) if WIDTHS[kind] else place
+    return head.unionByName(positioned(cells, "r", "c").select((F.col("pos") + 2).alias("pos"), text.alias("value")))
+
+
+def array_lines(cells: DataFrame, rows: int, columns: int, kind: str = "real") -> DataFrame:
+    """(r, c, re, im), every cell once -> (pos, value) of an array file: the numbers column by column."""
+    if not WIDTHS[kind]:
+        raise ValueError("an array has numbers")
+    head = cells.sparkSession.createDataFrame([(0, f"%%MatrixMarket matrix array {kind} general"), (1, f"{rows} {columns}")], "pos long, value string")
+    place = F.col("c") * rows + F.col("r")
+    return head.unionByName(cells.select((place + 2).alias("pos"), numbers_text(kind).alias("value")))
+
+
+def read_matrix(spark: SparkSession, path: str, mirrored: bool = False) -> DataFrame:
+    """(r, c, re, im), 0-based, of a coordinate or array file of real, integer, complex or pattern kind.
+
+    A pattern's cells count 1. ``mirrored`` adds the other half of symmetric, skew-symmetric and
+    hermitian matrices, which files hold but once. Arrays are read where they are general.
+    """
+    banner = spark.read.text(path).where(F.lower(F.col("value")).startswith("%%matrixmarket")).first()
+    what = banner.value.lower().split() if banner else []
+    if len(what) < 5 or what[1] != "matrix" or what[2] not in ("coordinate", "array") or what[3] not in WIDTHS:
+        raise ValueError("not a matrix file")
+    _, _, form, kind, shape = what[:5]
+    body = numbered_lines(spark, path).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    parts = F.split(F.trim("value"), "[ \t]+")
+    body = written(body.select("line", parts.alias("parts")), "matrix")
+    first = body.orderBy("line").first()
+    if first is None:
+        raise ValueError("the file ends before its sizes")
+    cells = body.where(F.col("line") > first.line)
+    at = 2 if form == "coordinate" else 0
+    number = lambda i: F.get("parts", F.lit(i)).cast("double")
+    re = number(at) if WIDTHS[kind] else F.lit(1.0)
+    im = number(at + 1) if kind == "complex" else F.lit(0.0)
+    if form == "array":
+        if shape != "general":
+            raise ValueError("only general arrays are read")
+        rows = int(first.parts[0])
+        place = reindexed(cells, "line")
+        return place.select((F.col("line") % rows).alias("r"), F.floor(F.col("line") / rows).cast("long").alias("c"), re.alias("re"), im.alias("im"))
+    index = lambda i: F.get("parts", F.lit(i)).cast("long") - 1
+    found = cells.select(index(0).alias("r"), index(1).alias("c"), re.alias("re"), im.alias("im"))
+    if not mirrored or shape == "general":
+        return found
+    signs = {"symmetric": (1, 1), "skew-symmetric": (-1, -1), "hermitian": (1, -1)}[shape]
+    other = found.where("r <> c").select(F.col("c").alias("r"), F.col("r").alias("c"), (F.col("re") * signs[0]).alias("re"), (F.col("im") * signs[1]).alias("im"))
+    return found.unionByName(other)
+
+
 def graphviz_lines(graph: DataFrame, directed: bool = True) -> DataFrame:
     """(pos, value) of a dot file."""
     spark, arrow = graph.sparkSession, "->" if directed else "--"

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..plans.shipping import ship
+from ..plans.scratch import scratch_scope, written
 
 
 def log2_up(i: int) -> int:
@@ -127,17 +126,26 @@ def points(spark: SparkSession, n: int, f) -> DataFrame:
 
 
 def random_permutation(spark: SparkSession, n: int) -> DataFrame:
-    """The shuffle that swaps i with hash(i) mod (i + 1), from the last i down. Each swap depends on those
-    before it, so that one task folds it; n is a parameter of the caller."""
-    ship(spark)
-
-    def run(batches):
-        for batch in batches:
-            for size in batch.column("id").to_pylist():
-                a = list(range(size))
-                for i in range(size - 1, 0, -1):
-                    j = H.hash32_int(i) % (i + 1)
-                    a[i], a[j] = a[j], a[i]
-                yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array(a, pa.int64())], names=["pos", "v"])
-
-    return spark.range(n, n + 1).mapInArrow(run, "pos long, v long")
+    """The shuffle that swaps i with hash(i) mod (i + 1), from the last i down, without doing the swaps in turn.
+
+    Followed back from the end, what lies at p was moved there by swap p, from place j(p) (earlier swaps do not reach p).
+    There it had come by the next swap with that same j, if there is one, at whose own place the story
+    goes on with the first swap whose j is that place. So each swap leads to at most one later swap, and
+    the ends of these chains are found by pointer doubling: rounds by the logarithm of the longest.
+    """
+    i, j = F.col("i"), F.col("j")
+    with scratch_scope(spark):
+        drawn = spark.range(n).select(F.col("id").alias("i"), (H.hash32(F.col("id")) % (F.col("id") + 1)).alias("j"))
+        # A place is drawn by ln n swaps on average, place 0 by ln n as well.
+        swaps = written(drawn.withColumn("after", F.lead("i").over(Window.partitionBy("j").orderBy("i"))), "swaps")
+        first = swaps.where(i > j).groupBy("j").agg(F.min("i").alias("to")).select(F.col("j").alias("at"), "to")
+        hops = written(first, "hops")
+        while True:
+            onward = hops.select(F.col("at").alias("to"), F.col("to").alias("further"))
+            longer = written(hops.join(onward, "to", "left").select("at", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "hops")
+            if longer.where("moved").isEmpty():
+                break
+            hops = longer.select("at", "to")
+        ends = hops.withColumnRenamed("at", "after")
+        out = swaps.join(ends, "after", "left").select(i.alias("pos"), F.coalesce("to", "after", "j").alias("v"))
+        return written(out, "permutation", keep=True)

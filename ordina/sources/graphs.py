@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,29 +120,31 @@ def rmat(spark: SparkSession, n: int, m: int, seed: int, a: float, b: float, c:
 
 def random_local(spark: SparkSession, dim: int, degree: int, rows: int) -> DataFrame:
     """Each of rows * degree edges draws hashes until its target differs from its source."""
+    if rows < 2 and degree > 0:
+        raise ValueError("one vertex has no other to lead to")
     ship(spark)
-    draw = lambda h: H.hash32_int(h) & 0x7FFFFFFF
-
-    def target(k: int) -> int:
-        i, h, power = k // degree, k, dim + 2
-        while True:
-            if dim == 0:
-                h = draw(h)
-                j = h % rows
-            else:
-                h = draw(h)
-                while h % 1000003 < 500001:
-                    power += dim
-                    h = draw(h)
-                h = draw(h)
-                j = (i + h % (1 << power)) % rows
-            if j != i:
-                return j
+
+    def targets(k: np.ndarray) -> np.ndarray:
+        """All rows draw together; those that have a target leave."""
+        out, at = np.empty(len(k), np.int64), np.arange(len(k))
+        source, h, power = k // degree, k.copy(), np.full(len(k), dim + 2)
+        while len(at):
+            h = H.hash32_int(h) & 0x7FFFFFFF
+            ready = np.ones(len(at), bool) if dim == 0 else h % 1000003 >= 500001
+            power[~ready] += dim
+            if dim:
+                h[ready] = H.hash32_int(h[ready]) & 0x7FFFFFFF
+            # A hash has 31 bits, a higher power leaves it as it is.
+            reach = source + h % (1 << np.minimum(power, 31)) if dim else h
+            found = ready & (reach % rows != source)
+            out[at[found]] = reach[found] % rows
+            at, source, h, power = (x[~found] for x in (at, source, h, power))
+        return out
 
     def run(batches):
         for batch in batches:
-            ks = batch.column("id").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([k // degree for k in ks], pa.int64()), pa.array([target(k) for k in ks], pa.int64())], names=["src", "dst"])
+            k = batch.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(k // degree), pa.array(targets(k))], names=["src", "dst"])
 
     return spark.range(rows * degree).mapInArrow(run, "src long, dst long")
 
@@ -172,7 +175,7 @@ def relabelled(graph: DataFrame, vertices: DataFrame, seed: int) -> DataFrame:
     """Both ends of each edge by one random permutation of the vertices (id)."""
     from ..plans.scan import positioned
 
-    table = positioned(vertices.select("id", F.xxhash64(F.lit(seed), "id").alias("h")), "h", "id", pos="new").select("id", "new")
+    table = positioned(vertices.select("id", H.hash64shift(F.col("id") + seed).alias("h")), "h", "id", pos="new").select("id", "new")
     out = graph.join(table.withColumnRenamed("id", "src"), "src").select(F.col("new").alias("s"), "dst")
     return out.join(table.withColumnRenamed("id", "dst"), "dst").select(F.col("s").alias("src"), F.col("new").alias("dst"))
 

@@ -46,7 +46,6 @@ def test_query(spark, duck, name):
     assert sorted(rows, key=str) == sorted(want, key=str)
 
 
-def test_each_query_has_sql_or_a_test():
+def test_each_query_has_sql():
     without = set(QUERIES) - set(SQL)
-    tested_elsewhere = {"S6_almost_sorted", "S11_almost_sorted_32", "S15_in_sphere", "S15_on_sphere", "S16_kuzmin", "S17_plummer", "S19_random_permutation", "S26_random_local", "S34_random_graph", "S36_permuted_ids", "G25_components", "K6_hull"}
-    assert without == tested_elsewhere
+    assert not without

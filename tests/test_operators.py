@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ordina.functions import hashing as H
 from ordina.functions import scalars
-from ordina.operators import arrays, containers, graph, spatial, telemetry
+from ordina.operators import arrays, buffers, containers, graph, spatial, telemetry
 from ordina.plans import rounds
 from ordina.plans import scan as plan
 from ordina.sources import files, generators, graphs
@@ -106,6 +106,20 @@ def test_components(spark):
     assert [r.label for r in got] == reaching(60, edges)
 
 
+def local_edge(dim, degree, rows, k):
+    i, h, power = k // degree, k, dim + 2
+    while True:
+        h = H.hash32_int(h) & 0x7FFFFFFF
+        if dim:
+            while h % 1000003 < 500001:
+                power += dim
+                h = H.hash32_int(h) & 0x7FFFFFFF
+            h = H.hash32_int(h) & 0x7FFFFFFF
+        j = (i + h % (1 << power)) % rows if dim else h % rows
+        if j != i:
+            return i, j
+
+
 def test_generators(spark):
     n = 50
     now = list(range(n))
@@ -118,15 +132,24 @@ def test_generators(spark):
         a, b = H.hash32_int(2 * i) % n, H.hash32_int(2 * i + 1) % n
         now[a], now[b] = now[b], now[a]
     assert listed(generators.almost_sorted_32(spark, 3, n, 20)) == now
-    assert sorted(listed(generators.random_permutation(spark, 100))) == list(range(100))
+    for n in (1, 2, 100):
+        now = list(range(n))
+        for i in range(n - 1, 0, -1):
+            j = H.hash32_int(i) % (i + 1)
+            now[i], now[j] = now[j], now[i]
+        assert listed(generators.random_permutation(spark, n)) == now
+    assert generators.random_permutation(spark, 0).count() == 0
     sphere = generators.points(spark, 200, lambda i: generators.in_sphere(i, 3)).toPandas()
     assert (sphere[["x", "y", "z"]] ** 2).sum(axis=1).max() <= 1
     ring = generators.points(spark, 200, generators.on_sphere).toPandas()
     assert np.allclose(ring.x**2 + ring.y**2, 1)
     for far in (generators.points(spark, 50, generators.kuzmin), generators.points(spark, 50, generators.plummer)):
         assert np.isfinite(far.toPandas().to_numpy()).all()
-    local = graphs.random_local(spark, 10, 8, 30).toPandas()
-    assert len(local) == 240 and (local.src != local.dst).all() and local.dst.between(0, 29).all()
+    for dim in (0, 10):
+        local = {(r.src, r.dst, r.k) for r in graphs.random_local(spark, dim, 8, 30).withColumn("k", F.monotonically_increasing_id()).collect()}
+        assert sorted((a, b) for a, b, _ in local) == sorted(local_edge(dim, 8, 30, k) for k in range(240))
+    with pytest.raises(ValueError):
+        graphs.random_local(spark, 10, 8, 1)
     assert graphs.chosen(spark, 60, 1).count() > 0
     relabelled = graphs.relabelled(graphs.chain(spark, 30), spark.range(31), 4).toPandas()
     assert sorted(set(relabelled.src) | set(relabelled.dst)) == list(range(31)) and relabelled.src.nunique() == 30
@@ -240,6 +263,68 @@ def test_multipoles():
     assert np.allclose(spatial.multipole_potential(moments, far, np.zeros(3), 8), exact, rtol=1e-5)
 
 
+def test_moved_multipoles(spark):
+    rng = np.random.default_rng(3)
+    points, mass = rng.uniform(-0.5, 0.5, (60, 3)), rng.uniform(1, 2, 60)
+    far = rng.uniform(-0.5, 0.5, (20, 3)) + np.array([5.0, -4.0, 3.0])
+    exact = [(mass / np.sqrt(((points - p) ** 2).sum(axis=1))).sum() for p in far]
+    here, there = np.array([0.1, -0.2, 0.05]), np.zeros(3)
+    moved = spatial.moved_moments(spatial.multipole(points, mass, here, 6), here - there, 6)
+    assert np.allclose(moved, spatial.multipole(points, mass, there, 6))
+    middle = np.array([5.0, -4.0, 3.0])
+    local = spatial.local_expansion(moved, middle - there, 6)
+    assert np.allclose(spatial.local_potential(local, far, middle, 6), exact, rtol=1e-4)
+    beside = middle + 0.2
+    assert np.allclose(spatial.local_potential(spatial.moved_expansion(local, beside - middle, 6), far, beside, 6), spatial.local_potential(local, far, middle, 6))
+    sources = spark.createDataFrame([(i, *map(float, p), float(m)) for i, (p, m) in enumerate(zip(points, mass, strict=True))], "id long, x double, y double, z double, mass double")
+    targets = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(far)], "id long, x double, y double, z double")
+    got = {r.id: r.potential for r in spatial.far_potential(sources, targets).collect()}
+    assert np.allclose([got[i] for i in range(20)], exact, rtol=1e-4)
+
+
+def test_buffers(spark):
+    made = lambda vs: spark.createDataFrame(list(enumerate(vs)), "pos long, v long")
+    full = buffers.Buffer(made([1, 2, 3]), 4).push_back(9)
+    assert listed(full.items) == [1, 2, 3, 9] and full.state().first().asDict() == {"size": 4, "empty": False, "full": True, "partial": False}
+    for wrong in (lambda: full.push_front(0), lambda: full.popn_back(5), lambda: full.concat(full), lambda: full.put(4, 1), lambda: full.split(5)):
+        with pytest.raises(ValueError):
+            wrong()
+    out, left = full.popn_back(3)
+    assert listed(out) == [2, 3, 9] and listed(left.items) == [1]
+    a, b = full.transfer_front_to_back(left, 2)
+    assert listed(a.items) == [3, 9] and listed(b.items) == [1, 1, 2] and listed(a.put(0, 7).items) == [7, 9]
+    none = buffers.Buffer(made([]), 2)
+    assert none.state().first().empty and listed(none.pushn_front(made([5, 6])).items) == [5, 6]
+
+
+def test_two_level_scans(spark):
+    rng = random.Random(8)
+    vs = [rng.choice([None, *range(-9, 10)]) for _ in range(60)]
+    xs = spark.createDataFrame(list(enumerate(vs)), "pos long, v long")
+    for back in (False, True):
+        now, last, want_sum, want_last = 0, None, {}, {}
+        for i in range(59, -1, -1) if back else range(60):
+            now, last = now + (vs[i] or 0), last if vs[i] is None else vs[i]
+            want_sum[i], want_last[i] = now, last
+        assert {r.pos: r.s for r in plan.scan(xs, "v", plan.SUM, back=back, block=3).collect()} == want_sum
+        assert {r.pos: r.s for r in plan.scan(xs, "v", plan.LAST, back=back, block=3).collect()} == want_last
+
+
+def test_matrix_kinds(spark, tmp_path):
+    def read(name, text, **options):
+        (tmp_path / name).write_text(text)
+        return sorted(tuple(r) for r in files.read_matrix(spark, str(tmp_path / name), **options).collect())
+
+    head = "%%MatrixMarket matrix "
+    assert read("a", head + "array real general\n% note\n\n2 3\n1\n2\n3\n4\n5\n6\n") == [(0, 0, 1.0, 0.0), (0, 1, 3.0, 0.0), (0, 2, 5.0, 0.0), (1, 0, 2.0, 0.0), (1, 1, 4.0, 0.0), (1, 2, 6.0, 0.0)]
+    assert read("b", head + "coordinate pattern symmetric\n3 3 2\n1 1\n3 2\n", mirrored=True) == [(0, 0, 1.0, 0.0), (1, 2, 1.0, 0.0), (2, 1, 1.0, 0.0)]
+    assert read("c", head + "coordinate complex hermitian\n2 2 1\n2 1 1.5 -2\n", mirrored=True) == [(0, 1, 1.5, 2.0), (1, 0, 1.5, -2.0)]
+    assert read("d", head + "coordinate integer general\n2 2 0\n") == []
+    for bad in ("no banner\n1 1 0\n", head + "coordinate quaternion general\n1 1 0\n", head + "array real symmetric\n1 1\n1\n", head + "coordinate real general\n"):
+        with pytest.raises(ValueError):
+            read(f"bad{len(bad)}", bad)
+
+
 def test_estimates(spark):
     assert telemetry.shared_constant([10, 8, 3, 4, 1]) == 2.5
     rows = [("a", i, float(c)) for i, c in enumerate([10, 8, 3, 4, 1])]
