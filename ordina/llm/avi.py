@@ -44,6 +44,8 @@ BINS = 16
 WINDOW = 8
 CUT_SPREADS, MIN_CUT = 2.0, 0.30
 FRAMES = 2048  # frames handled at once
+#: Files that a batch of the media column has at the most.
+STORED_ROWS = 64
 
 # Coefficient order of a scan.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8)))
@@ -391,32 +393,34 @@ def payload_of(raw: bytes | None) -> bytes:
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """docs -> (doc_id, avi): each text's payload as an AVI file."""
+    """docs -> (doc_id, n_bytes, avi): each text's length in bytes, and its payload as an AVI file."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([write_avi(payload_of(x)) for x in common.texts(part)], pa.binary())], names=["doc_id", "avi"])
+        for at in range(0, batch.num_rows, STORED_ROWS):
+            part = batch.slice(at, STORED_ROWS)
+            texts = common.texts(part)
+            columns = [part.column("doc_id"), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array([write_avi(payload_of(x)) for x in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "avi"])
 
-    return common.map_arrow(docs.select("doc_id", "text"), run, common.with_id(docs, "avi binary"))
+    return common.map_arrow(docs.select("doc_id", "text"), run, common.with_id(docs, "n_bytes long, avi binary"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores each text, reads it back and returns digests of what was read, with the clips as the feature."""
+    """Reads the media column of ``stored`` back and returns digests of what was read, with the clips as the feature."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for raw in common.texts(batch):
-            avi = write_avi(payload_of(raw))
+        for avi in batch.column("avi"):
+            avi = avi.as_py()
             payload, found, of = analysed(avi)
             feature = f"frames={len(of.frames)};clips=" + ",".join(f"{a * of.seconds_per_frame:.2f}-{b * of.seconds_per_frame:.2f}" for a, b in found)
-            rows.append((len(raw or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = common.with_id(docs, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    return common.map_arrow(docs.select("doc_id", "text"), run, schema)
+    return common.map_arrow(stored(docs), run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
