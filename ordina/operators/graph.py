@@ -60,6 +60,10 @@ def edge_map(graph: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataF
     return reached.join(visited, "id", "left_anti")
 
 
+#: Tables of levels that are kept apart.
+MERGED = 16
+
+
 class Levels:
     """Levels of a traversal: written tables (id, dist), the size of each, and edges looked at."""
 
@@ -76,6 +80,11 @@ class Levels:
         return n
 
     def visited(self) -> DataFrame:
+        """All levels so far. Many tables become one beside the last, so that a round opens a bounded number."""
+        if len(self.paths) > MERGED:
+            path = scratch_path(self.spark, "levels")
+            self.spark.read.schema("id long, dist long").parquet(*self.paths[:-1]).write.parquet(path)
+            self.paths = [path, self.paths[-1]]
         return self.spark.read.schema("id long, dist long").parquet(*self.paths)
 
     def last(self) -> DataFrame:

@@ -282,6 +282,13 @@ def test_moved_multipoles(spark):
     assert np.allclose([got[i] for i in range(20)], exact, rtol=1e-4)
 
 
+def test_deep_search(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MERGED", 3)
+    edges = graphs.chain(spark, 9).unionByName(spark.createDataFrame([(2, 0), (9, 1)], "src long, dst long"))
+    got = {r.vertex: r.dist for r in graph.bfs_distances(edges, 12, 0).collect()}
+    assert got == {v: v if v < 10 else -1 for v in range(12)}
+
+
 def test_buffers(spark):
     made = lambda vs: spark.createDataFrame(list(enumerate(vs)), "pos long, v long")
     full = buffers.Buffer(made([1, 2, 3]), 4).push_back(9)
