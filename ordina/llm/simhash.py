@@ -20,6 +20,10 @@ them: 65 rows a member whatever the size of the cell, and the same components.
 Components are found by alternating star contractions over links of distinct fingerprints; copies
 are not links.
 
+Deduplication. ``deduplicated`` keeps one row of each group. Its links are those above, of the whole texts'
+fingerprints by embedding, grid, Manhattan bound and exact Hamming distance, and besides them those of
+``similar``, for near copies that lie further apart than ``radius`` bits.
+
 Similarity. ``similar`` serves thresholds of Jaccard similarity over shingles. At 0.8 some 15 % of the
 bits of two whole texts' fingerprints differ, far beyond what a grid can serve whatever the number of
 texts. So a text has PRINTS fingerprints there, each of the SAMPLE shingles that come first under one
@@ -44,6 +48,7 @@ Defined results
   null doc_id          never the smallest of its component unless all are null
   shared doc_ids       each row is a document by itself; ``deduplicated`` keeps one row of a group,
                        that of the smallest doc_id, and among equal ids the first one stored
+  equal shingle sets   one node, which takes the links of each fingerprint that its repeats give
   doc_id of any type   kept; components are named by the smallest one
   empty table          no rows
   extra columns        not read; ``deduplicated`` keeps them, whatever their names
@@ -246,11 +251,11 @@ def sampled(found: np.ndarray) -> np.ndarray:
 
 def shingled(docs: DataFrame, words: int) -> DataFrame:
     """docs -> a numbered row each: row, doc (the document), u1 and u2 (a digest of its shingle set), n
-    (its size) and cells (its fingerprints)."""
+    (its size), cells (its samples' fingerprints) and fp (the whole text's)."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        one, two, sizes, cells_ = [], [], [], []
+        one, two, sizes, cells_, fps = [], [], [], [], []
         for raw in common.texts(pa.RecordBatch.from_struct_array(batch.column("doc"))):
             found = shingle_set(raw, words)
             both = xxhash.xxh3_128_intdigest(found.tobytes())
@@ -258,10 +263,11 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
             two.append(signed(both & (1 << 64) - 1))
             sizes.append(len(found))
             cells_.append(sampled(found).view(np.int64))
-        columns = [batch.column("doc"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells_, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc", "u1", "u2", "n", "cells"])
+            fps.append(signed(fingerprint(raw)))
+        columns = [batch.column("doc"), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cells_, pa.list_(pa.int64())), pa.array(fps, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "u1", "u2", "n", "cells", "fp"])
 
-    found = common.map_arrow(whole, run, common.extended(whole.schema, "u1 long, u2 long, n long, cells array<long>"))
+    found = common.map_arrow(whole, run, common.extended(whole.schema, "u1 long, u2 long, n long, cells array<long>, fp long"))
     return common.written(found.withColumn("row", F.monotonically_increasing_id()), "shingled", keep=True)
 
 
@@ -400,9 +406,17 @@ def star_links(members: DataFrame, every: DataFrame, words: int, similarity: flo
     return first.unionByName(verified(apart, every, words, similarity))
 
 
-def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def print_links(every: DataFrame, first: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of shingle sets (u1, u2, id) that connect those whose texts' fingerprints ``classes`` connects."""
+    prints = every.select("u1", "u2", "fp").distinct().join(first.select("u1", "u2", "id"), ["u1", "u2"])
+    found = classes(common.written(prints.select(F.col("id").alias("doc_id"), "fp"), "prints"), radius)
+    return found.where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+
+
+def grouped(docs: DataFrame, words: int, similarity: float, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
     """docs -> their numbered rows (see ``shingled``), and (u1, u2, least) by shingle set: the doc_id and
-    the row of the smallest document that its group reaches."""
+    the row of the smallest document that its group reaches. With a radius, fingerprints of whole texts
+    within it are links too."""
     with common.scratch_scope(docs.sparkSession):
         every = shingled(docs, words)
         least = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), F.col("row"))
@@ -411,7 +425,10 @@ def grouped(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame,
         grid = first.select("id", "n", F.explode("cells").alias("cell"))
         reps = grid.groupBy("cell").agg(F.min(F.struct("id", "n")).alias("rep"), F.count(F.lit(1)).alias("m")).where("m > 1")
         members = common.written(grid.join(common.written(reps, "shared-cells"), "cell"), "members")
-        roots = rooted(first.select("id"), star_links(members, every, words, similarity))
+        near = star_links(members, every, words, similarity)
+        if radius is not None:
+            near = common.written(near.unionByName(print_links(every, first, radius)).distinct(), "near")
+        roots = rooted(first.select("id"), near)
         more = crowded_links(members.where("m > 2").select("cell", "id", "n").join(roots, "id"), every, words, similarity)
         more = common.written(more, "crowded-links")
         if not more.isEmpty():
@@ -428,9 +445,10 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFra
     return every.select("u1", "u2", F.col("doc.doc_id").alias("doc_id")).join(classes_, ["u1", "u2"]).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each group of similar texts, that of the smallest doc_id."""
-    every, classes_ = grouped(docs, words, similarity)
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
+    """docs with one row of each group, that of the smallest doc_id: texts link if ``near_duplicates`` links
+    them, and also if their shingle sets are similar."""
+    every, classes_ = grouped(docs, words, similarity, radius)
     return picked(every.select("row", "doc"), classes_.select("least.row").distinct()).select("doc.*")
 
 

@@ -541,6 +541,40 @@ def test_dedup_rows(spark):
     assert simhash.near_duplicates(table).count() == 6
 
 
+def test_dedup_takes_the_links_of_simhash(spark):
+    # Two texts within two bits whose five-word shingles are not similar, and a chain over such a link to a similar text.
+    rnd, far, near = random.Random(13), None, None
+    distance = lambda a, b: (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count()
+    while not (far and near):
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(300)]
+        pair = " ".join(words), " ".join(changed(rnd, words, 8))
+        if distance(*pair) <= 2:
+            near = near or pair
+        elif distance(*pair) > 4:
+            far = far or pair
+    texts = [*near, " ".join([*near[1].split(), "more", "words"]), *far]
+    assert jaccard_components(texts) == [0, 1, 1, 3, 4]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(table).collect()) == [0, 3, 4]
+
+
+def test_dedup_leaves_no_link_of_near_duplicates(spark, docs):
+    # Families of copies, some with repeated lines: no two rows that stay are in one class of near_duplicates or similar.
+    rnd, rows = random.Random(17), []
+    for r in docs.where("length(text) between 600 and 3000").orderBy("doc_id").limit(30).collect():
+        words = r.text.split()
+        for share in (0, 0.01, 0.03):
+            copy = changed(rnd, words, int(share * len(words)))
+            rows += [" ".join(copy), " ".join(copy + words[:20] * 3)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    parent = list(range(len(rows)))
+    for found in (simhash.near_duplicates(table), simhash.similar(table)):
+        for r in found.collect():
+            old, new = max(parent[r.doc_id], parent[r.component_id]), min(parent[r.doc_id], parent[r.component_id])
+            parent = [new if x == old else x for x in parent]
+    assert sorted(r.doc_id for r in simhash.deduplicated(table).collect()) == sorted(set(parent))
+
+
 def test_dedup_awkward(spark, awkward, empty):
     kept = simhash.deduplicated(awkward)
     assert kept.columns == awkward.columns
