@@ -23,8 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return simhash.deduplicated(docs, words=5, similarity=0.8)
+    """One document of each group of near copies: SimHash within 2 bits, or similarity 0.8 of five-word shingles."""
+    return simhash.deduplicated(docs, words=5, similarity=0.8, radius=2)
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
