@@ -359,3 +359,18 @@ def test_files(spark, tmp_path):
 def test_hashes(spark):
     rows = spark.range(-50, 50).select("id", H.hash64shift(F.col("id")).alias("h"), H.hash32(F.col("id")).alias("g")).collect()
     assert all(r.h == H.hash64shift_int(r.id) and r.g == H.hash32_int(r.id) for r in rows)
+
+
+def test_adjacency_file_in_parts(spark, tmp_path):
+    """Gaps, a hub whose edges fall into several partitions, vertices behind the last source, and no edge at all."""
+    rnd = random.Random(5)
+    many = [(4, d) for d in range(3000)] + [(rnd.randrange(9, 2000), rnd.randrange(5000)) for _ in range(2000)]
+    for name, rows, n, bits in (("hub", many, 5000, 32), ("wide", many, 5000, 64), ("one", [(3, 1)], 5, 32), ("none", [], 3, 32)):
+        uri = f"file://{tmp_path}/new/{name}.adj_bin"
+        files.write_adjacency(spark.createDataFrame(rows, "src long, dst long"), uri, n, bits)
+        src, dst = np.array(sorted(rows), "i8").reshape(-1, 2).T
+        offsets = np.searchsorted(src, np.arange(n + 1))
+        want = files.HEAD.pack(files.MAGIC, bits, n, len(rows), 0) + np.concatenate((offsets, dst)).astype(f"<u{bits // 8}").tobytes()
+        assert [p.name for p in (tmp_path / "new").glob(f"{name}*")] == [f"{name}.adj_bin"]
+        assert (tmp_path / "new" / f"{name}.adj_bin").read_bytes() == want
+        assert sorted((r.src, r.dst) for r in files.read_adjacency(spark, uri, 700).collect()) == sorted(rows)
