@@ -374,3 +374,32 @@ def test_adjacency_file_in_parts(spark, tmp_path):
         assert [p.name for p in (tmp_path / "new").glob(f"{name}*")] == [f"{name}.adj_bin"]
         assert (tmp_path / "new" / f"{name}.adj_bin").read_bytes() == want
         assert sorted((r.src, r.dst) for r in files.read_adjacency(spark, uri, 700).collect()) == sorted(rows)
+
+
+def many_lines(spark, tmp_path, values):
+    """A folder of several files in order, larger ones in between, each read in several splits."""
+    for i, a in enumerate(range(0, len(values), 7)):
+        (tmp_path / f"part-{i:05}.txt").write_text("".join(f"{v}\n" for v in values[a : a + 7]) + "\n" * (i * 37 % 11))
+    return str(tmp_path)
+
+
+def test_lines_of_many_files(spark, tmp_path):
+    values = [f"{i} {'x' * (i * 31 % 17)}" for i in range(60)]
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "48")
+    try:
+        got = files.numbered_lines(spark, many_lines(spark, tmp_path, values)).where("value <> ''").orderBy("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert [r.value for r in got] == values
+
+
+def test_lines_are_written_by_many_tasks(spark, tmp_path):
+    from ordina.catalog.graphs import round_trip
+
+    kept = []
+    lines = spark.range(20000).select(F.col("id").alias("pos"), F.col("id").cast("string").alias("value"))
+    round_trip(spark, lines, lambda s, p: kept.append(p), "x")
+    rows = spark.read.text(kept[0]).groupBy(F.col("_metadata.file_name")).count().collect()
+    assert sum(r["count"] for r in rows) == 20000
+    assert max(r["count"] for r in rows) < 15000
