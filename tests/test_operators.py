@@ -403,3 +403,21 @@ def test_lines_are_written_by_many_tasks(spark, tmp_path):
     rows = spark.read.text(kept[0]).groupBy(F.col("_metadata.file_name")).count().collect()
     assert sum(r["count"] for r in rows) == 20000
     assert max(r["count"] for r in rows) < 15000
+
+
+def test_shared_constants_in_few_passes(spark, monkeypatch):
+    """Zeros halve a constant down to nothing; values repeat, rise, and start at odd ones."""
+    rnd = random.Random(12)
+    lists = {
+        "zeros": [7.3] + [0.0] * 1100 + [1e-320, -1.0],
+        "few": [100.0, 1.0, 1.0, 30.0, 2.0, 1.0, 0.1, 0.1, 6.0, 0.1],
+        "mixed": [1e5, *[rnd.choice([0.0, 2.0 ** -rnd.randrange(200), rnd.random() * 1e5]) for _ in range(400)]],
+        "tiny": [5e-324 * 1001, *[5e-324 * rnd.randrange(1500) for _ in range(60)]],
+        "nothing": [0.0, -1.0, 3.0], "endless": [math.inf, 3.0, math.inf], "rising": [-8.0, -9.0, -3.0, -5.0, -1.0, 4.0],
+    }
+    rows = [(name, i, c) for name, cs in lists.items() for i, c in enumerate(cs)]
+    passes, put = [], telemetry.written
+    monkeypatch.setattr(telemetry, "written", lambda df, name, **k: (passes.append(name), put(df, name, **k))[1])
+    got = {r.estimator: r.shared for r in telemetry.shared_constants(spark.createDataFrame(rows, "estimator string, seq long, c double").repartition(3)).collect()}
+    assert got == {name: telemetry.shared_constant(cs) for name, cs in lists.items()}
+    assert passes.count("moved") < 30
