@@ -421,3 +421,24 @@ def test_shared_constants_in_few_passes(spark, monkeypatch):
     got = {r.estimator: r.shared for r in telemetry.shared_constants(spark.createDataFrame(rows, "estimator string, seq long, c double").repartition(3)).collect()}
     assert got == {name: telemetry.shared_constant(cs) for name, cs in lists.items()}
     assert passes.count("moved") < 30
+
+
+def test_readers_of_many_files(spark, tmp_path):
+    """Folders whose files are not of one size, which Spark reads by size: the places of values are kept."""
+
+    def made(name, lines):
+        (tmp_path / name).mkdir()
+        return many_lines(spark, tmp_path / name, lines)
+
+    rows = [(i, i * i % 13) for i in range(40)]
+    banner = "%%MatrixMarket matrix "
+    market = made("m.mmarket", [banner + "coordinate real general", "% x", "99 99 40", *[f"{a + 1} {b + 1} 0.5" for a, b in rows]])
+    assert sorted((r.src, r.dst) for r in files.read_graph(spark, market).collect()) == rows
+    assert sorted(files.read_matrix(spark, market).collect()) == [(a, b, 0.5, 0.0) for a, b in rows]
+    array = made("array", [banner + "array real general", "% x", "4 10", *map(str, range(40))])
+    assert {(r.r, r.c): r.re for r in files.read_matrix(spark, array).collect()} == {(i % 4, i // 4): float(i) for i in range(40)}
+    assert listed(files.read_sequence(spark, made("ints", ["sequenceInt", *[str(b) for _, b in rows]]))) == [b for _, b in rows]
+    pairs = files.read_sequence(spark, made("pairs", ["sequenceStringIntPair", *[f"w{b} {a}" for a, b in rows]]))
+    assert [(r.first, r.second) for r in pairs.orderBy("pos").collect()] == [(f"w{b}", a) for a, b in rows]
+    points = files.read_points(spark, made("points", ["pbbs_sequencePoint2d", *[f"{a} {b}" for a, b in rows]]))
+    assert [(r.x, r.y) for r in points.orderBy("id").collect()] == rows
