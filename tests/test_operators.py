@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -442,3 +443,36 @@ def test_readers_of_many_files(spark, tmp_path):
     assert [(r.first, r.second) for r in pairs.orderBy("pos").collect()] == [(f"w{b}", a) for a, b in rows]
     points = files.read_points(spark, made("points", ["pbbs_sequencePoint2d", *[f"{a} {b}" for a, b in rows]]))
     assert [(r.x, r.y) for r in points.orderBy("id").collect()] == rows
+
+
+def test_exact_forces_in_blocks(spark, monkeypatch):
+    """Blocks smaller than the set: no plan holds all particles, sums equal a loop; equal places, ids and gaps count as in SQL."""
+    monkeypatch.setattr(spatial, "BODIES", 7)
+    rnd = random.Random(4)
+    rows = [(i, rnd.random(), rnd.random(), rnd.random(), float(i % 3 + 1)) for i in range(40)]
+    rows += [(40, *rows[3][1:]), (5, 0.5, 0.5, 0.5, 2.0), (41, None, 0.1, 0.1, 1.0), (42, 0.2, 0.3, 0.4, None)]
+    table = spark.createDataFrame(rows, "id long, x double, y double, z double, mass double")
+    found = spatial.exact_forces(table)
+    assert "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    want: dict = {}
+    for i, x, y, z, m in rows:
+        for j, a, b, c, w in rows:
+            if i != j and x is not None and a is not None and (r2 := (a - x) ** 2 + (b - y) ** 2 + (c - z) ** 2) > 0:
+                force = want.setdefault(i, [None, None, None])
+                for k, d in enumerate((a - x, b - y, c - z)) if m is not None and w is not None else ():
+                    force[k] = (force[k] or 0.0) + d * m * w / r2**1.5
+    got = {r.id: [r.fx, r.fy, r.fz] for r in found.collect()}
+    assert set(got) == set(want)
+    assert got[42] == want[42] == [None] * 3
+    assert all(got[i] == pytest.approx(want[i]) for i in want if i != 42)
+    assert spatial.exact_forces(table.limit(0)).count() == 0
+
+
+def test_near_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "PAIRS", 1000)  # pairs by far exceed it
+    points, plans, put = generators.points(spark, 300, generators.plummer), [], spatial.written
+    monkeypatch.setattr(spatial, "written", lambda df, name, **k: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), put(df, name, **k))[1])
+    got = spatial.nearest(points, points, 3, 3).toPandas()
+    assert len(got) == 900
+    parts = [int(x) for x in re.findall(r"RepartitionByExpression \[cx.*, (\d+)", next(p for n, p in plans if n == "nearest"))]
+    assert len(parts) == 2 and parts[0] == parts[1] > 30
