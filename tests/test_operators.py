@@ -476,3 +476,26 @@ def test_near_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert len(got) == 900
     parts = [int(x) for x in re.findall(r"RepartitionByExpression \[cx.*, (\d+)", next(p for n, p in plans if n == "nearest"))]
     assert len(parts) == 2 and parts[0] == parts[1] > 30
+
+
+def test_shuffles_are_sized_by_the_tables(spark, monkeypatch):
+    from ordina.catalog import QUERIES
+    from ordina.plans import sizing
+
+    data, start = "/root/testdata/sf0.001", sizing.partitions(spark)
+    monkeypatch.setattr(sizing, "SHARE", 10_000)
+    for name in ("G5_degrees_both", "G6_symmetric", "G28_bag", "U11_vertex_weight"):
+        found = QUERIES[name](spark, data)
+        assert sizing.partitions(spark) > 2 * start
+        assert found.count() > 0
+    QUERIES["S1_fill"](spark, data)
+    assert sizing.partitions(spark) == start
+
+
+def test_components_start_from_the_edges(spark, monkeypatch):
+    plans, put = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name, **k: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), put(df, name, **k))[1])
+    edges = [(3, 1), (1, 2), (2, 0), (5, 5), (2, 7)]
+    got = {r.vertex: r.label for r in graph.components(spark.createDataFrame(edges, "src long, dst long"), 9).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 1, 8: 8}
+    assert "Join" not in next(p for n, p in plans[1:] if n == "labels" and "Aggregate" in p)
